@@ -30,15 +30,42 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet below the shared folder and read it again.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-    This cuts the lineage: a lost executor costs a re-read, never a recomputation.
+
+class Scratch:
+    """Tables in the shared folder that cut the lineage of a job of several steps.
+
+    A lost executor costs a re-read or the step at hand, never the steps before. The
+    shuffle files of a step are deleted once its table is written, and so is a table
+    that ``drop`` names.
     """
-    path = f"{shared_dir(df.sparkSession)}/karst-{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(schema).parquet(path)
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path = spark, f"{shared_dir(spark)}/karst-{name}-{uuid.uuid4().hex}"
+        self.n = 0
+        self.where: dict[int, str] = {}
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """df, written and read again."""
+        self.n += 1
+        path, schema, before = f"{self.path}/{self.n}", df.schema, self.spark.conf.get(_CLEANUP)
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(_CLEANUP, before)
+        out = self.spark.read.schema(schema).parquet(path)
+        self.where[id(out)] = path
+        out._karst_scratch = self  # keeps id(out) from being given to another frame of ours
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables that nothing still to be computed reads."""
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        for t in tables:
+            path = jvm.org.apache.hadoop.fs.Path(self.where.pop(id(t)))
+            path.getFileSystem(conf).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize
+from .common import WORD, Scratch
 
 #: Weights of the sources in the order of their names, repeating.
 WEIGHTS = (1.0, 2.0, 3.0)
@@ -35,12 +35,10 @@ def word_count(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def _ranked(sources: DataFrame) -> DataFrame:
+def _ranked(sources: DataFrame, scratch: Scratch) -> DataFrame:
     """Adds rank (from 0, nulls last, by code point) without one task seeing all sources."""
-    ordered = materialize(
-        sources.repartitionByRange(F.col("source").isNull(), F.col("source"))
-        .withColumn("part", F.spark_partition_id()),
-        "mix-sources",
+    ordered = scratch.keep(
+        sources.repartitionByRange(F.col("source").isNull(), F.col("source")).withColumn("part", F.spark_partition_id())
     )
     counts = ordered.groupBy("part").agg(F.count("*").alias("n"))
     # one row for each shuffle partition: bounded by spark.sql.shuffle.partitions
@@ -53,7 +51,7 @@ def _ranked(sources: DataFrame) -> DataFrame:
     )
 
 
-def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = MOST_COPIES) -> DataFrame:
+def source_targets(sizes: DataFrame, scratch: Scratch, weights: tuple[float, ...] = WEIGHTS, cap: float = MOST_COPIES) -> DataFrame:
     """(source, source_size, n_docs, target) from (source, size).
 
     Shares of the total by weight; a source whose share exceeds cap times its size
@@ -64,7 +62,7 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap:
         F.sum("size").alias("source_size"), F.count("*").alias("n_docs")
     )
     w = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.col("rank"), F.lit(len(weights))) + 1).cast("int"))
-    ranked = materialize(_ranked(sources).withColumn("w", w), "mix-targets")
+    ranked = scratch.keep(_ranked(sources, scratch).withColumn("w", w))
     most = F.col("source_size") * F.lit(float(cap))
     total = ranked.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
     level = -1.0
@@ -82,7 +80,7 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap:
     return ranked.select("source", "source_size", "n_docs", target.alias("target"))
 
 
-def pivotal_round(fractions: DataFrame, carried: list[str], fan_in: int = 32) -> DataFrame:
+def pivotal_round(fractions: DataFrame, carried: list[str], scratch: Scratch, fan_in: int = 32) -> DataFrame:
     """Round the column p (0 < p < 1) of each row to 0.0 or 1.0, within each source.
 
     fractions: source, hkey (long), size (long > 0), p, leaves (nodes of the source's
@@ -100,12 +98,11 @@ def pivotal_round(fractions: DataFrame, carried: list[str], fan_in: int = 32) ->
     done, level = [], 0
     kind = rows.schema["x"].dataType.simpleString()
     while most is not None:
-        folded = materialize(
+        folded = scratch.keep(
             rows.groupBy("source", "leaves", "node")
             .agg(F.sort_array(F.collect_list("x"), asc=False).alias("items"))
             .withColumn("f", F.expr(_fold_sql(kind, level, last=most <= 1)))
-            .select("source", "leaves", "node", "f.r", "f.done"),
-            f"mix-level{level}",
+            .select("source", "leaves", "node", "f.r", "f.done")
         )
         done.append(folded.select("source", F.explode("done").alias("x")))
         if most <= 1:
@@ -198,10 +195,9 @@ def mix(
     if clash:
         raise ValueError(f"carried columns clash with the result's: {sorted(clash)}")
     carried = ["doc_id", *carry]
-    sized = materialize(
-        docs.select("source", word_count().alias("size"), *carried), "mix-sizes"
-    )
-    targets = source_targets(sized.select("source", "size"), weights, cap)
+    scratch = Scratch(docs.sparkSession, "mix")
+    sized = scratch.keep(docs.select("source", word_count().alias("size"), *carried))
+    targets = source_targets(sized.select("source", "size"), scratch, weights, cap)
     # rows without an id are told apart by their place in the written table, else one leaf would hold them all
     salt = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).otherwise(F.lit(0))
     same = sized["source"].eqNullSafe(targets["source"])
@@ -219,7 +215,7 @@ def mix(
     plain = rows.where("p = 0").select("source", "size", F.lit(0.0).alias("p"), *keep)
     part = rows.withColumn("hkey", F.xxhash64("doc_id", "size", "salt")).where("p > 0").drop("salt")
     part = part.join(leaves.withColumnRenamed("source", "s_"), part["source"].eqNullSafe(F.col("s_"))).drop("s_")
-    rounded = pivotal_round(part, keep, fan_in).select("source", "size", "p", *keep)
+    rounded = pivotal_round(part, keep, scratch, fan_in).select("source", "size", "p", *keep)
     copies = F.when(F.col("size") == 0, F.lit(0)).otherwise(F.col("whole") + F.col("p")).cast("long")
     return (
         plain.unionAll(rounded)

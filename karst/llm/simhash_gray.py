@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import Scratch
 
 SHINGLE = 3
 SEED = 42
@@ -220,7 +220,7 @@ def _edges(distance: int, two: bool):
     return run
 
 
-def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
+def links(fps: DataFrame, scratch: Scratch, distance: int = DISTANCE) -> DataFrame:
     """(u, v), u < v: edges with the components of the link graph of the distinct fps (fp)."""
     masks = [x | y for x, y in combinations(_blocks(distance), 2)]
     tables = F.array(*[
@@ -228,12 +228,11 @@ def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     ])
     rows = fps.select("fp", F.explode(tables).alias("g")).select("g.t", "g.key", "fp")
     rank = gray_rank(F.col("fp"))
-    nodes = materialize(
+    nodes = scratch.keep(
         rows.repartitionByRange("t", "key", rank)
         .sortWithinPartitions("t", "key", rank)
         .select("t", "key", "fp")
-        .mapInArrow(_nodes, _CHUNK),
-        "simhash-nodes",
+        .mapInArrow(_nodes, _CHUNK)
     )
     inside = nodes.where(F.size("fps") > 1).select("fps").mapInArrow(_edges(distance, False), "u bigint, v bigint")
     a, b = nodes.alias("a"), nodes.alias("b")
@@ -250,9 +249,9 @@ def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return inside.unionAll(between).distinct()
 
 
-def connected(edges: DataFrame) -> DataFrame:
+def connected(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, root): every node of the edges (u, v) with the least node of its component."""
-    edges = materialize(edges.where("u <> v").select("u", "v"), "cc-edges")
+    edges = scratch.keep(edges.where("u <> v").select("u", "v"))
     seen = None
     while True:
         # large star: larger neighbours go to the least of u and its neighbours
@@ -264,7 +263,8 @@ def connected(edges: DataFrame) -> DataFrame:
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionAll(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        edges = materialize(small, "cc-round")
+        before, edges = edges, scratch.keep(small)
+        scratch.drop(before)
         state = edges.agg(
             F.count("*"), F.expr("bit_xor(xxhash64(u, v))"), F.expr("sum(cast(xxhash64(u, v) as decimal(38)))")
         ).first()
@@ -277,9 +277,10 @@ def connected(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fingerprint, component_id), one row for each row of docs."""
-    fps = materialize(fingerprints(docs, shingle), "simhash-fps")
-    nodes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
-    roots = materialize(connected(links(nodes.select("fp"), distance)), "simhash-roots")
+    scratch = Scratch(docs.sparkSession, "simhash")
+    fps = scratch.keep(fingerprints(docs, shingle))
+    nodes = scratch.keep(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    roots = connected(links(nodes.select("fp"), scratch, distance), scratch)
     member = nodes.join(roots, nodes["fp"] == roots["node"]).select("fp", "root", "first")
     least = member.groupBy("root").agg(F.min("first").alias("least"))
     joined = member.join(least, "root").select("fp", "least")
