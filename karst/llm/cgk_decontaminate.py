@@ -33,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Edit distance that still is a leak, as a share of the item's length.
 MOST_EDITS = 0.2
@@ -206,52 +207,62 @@ def repetitions_for(items: list[str], recall: float = RECALL) -> int:
     return MOST_REPETITIONS
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_id, edits), one row for each document and item that leaked into it."""
-    spark = docs.sparkSession
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    item_kind = benchmark.schema["item_id"].dataType.simpleString()
+def _blocks(benchmark: DataFrame) -> Iterator[tuple[list[tuple[int, str]], int]]:
+    """(items, repetitions) of each block; an item's block is the hash of its id and text."""
     texts = benchmark.where("item_id is not null and text is not null").select("item_id", "text").dropDuplicates()
     n_blocks = -(-texts.count() // BLOCK)
-    out = None
     for block in range(n_blocks):
         part = texts.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == block)
         # about BLOCK rows: the block's size is the bound
         items = sorted((r.item_id, r.text) for r in part.collect())
-        repetitions = repetitions_for([t for _, t in items])
-        found = _pass(docs, items, repetitions, f"doc_id {kind}, item_id {item_kind}, edits int")
-        out = found if out is None else out.unionAll(found)
-    if out is None:
-        return spark.createDataFrame([], f"doc_id {kind}, item_id {item_kind}, edits int")
-    return out
-
-
-def _pass(docs: DataFrame, items: list[tuple[int, str]], repetitions: int, schema: str) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast((items, repetitions))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(*shared.value)
-
-        def flush():
-            rows = index.search(texts)
-            cols = [[ids[r[0]].as_py() for r in rows], [r[1] for r in rows], [r[2] for r in rows]]
-            texts.clear(), ids.clear()
-            return pa.RecordBatch.from_pydict(
-                dict(zip(("doc_id", "item_id", "edits"), map(pa.array, cols, (kinds[0], kinds[1], pa.int32()))))
-            )
-
-        texts, ids, kinds = [], [], (None, pa.int64())
-        for b in batches:
-            kinds = (b.schema.field(0).type, pa.infer_type([items[0][0]]))
-            size = 0
-            for i, t in zip(b.column(0), b.column(1)):
-                texts.append(normal(t.as_py()))
-                ids.append(i)
-                size += len(texts[-1])
-                if size >= CHUNK:
-                    yield flush()
-                    size = 0
-            if texts:
-                yield flush()
-
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+        yield items, repetitions_for([t for _, t in items])
+
+
+def _search_rows(texts: pa.Array, index: Index) -> Iterator[tuple[int, int, int]]:
+    """(row, item id, edits) of each leak, a few MB of text at a time."""
+    part, base, size = [], 0, 0
+    for i, t in enumerate(texts):
+        part.append(normal(t.as_py()))
+        size += len(part[-1])
+        if size >= CHUNK or i == len(texts) - 1:
+            yield from ((base + k, item, edits) for k, item, edits in index.search(part))
+            part, base, size = [], i + 1, 0
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(doc_id, item_id, edits), one row for each document and item that leaked into it."""
+    spark = docs.sparkSession
+    kind, item_kind = docs.schema["doc_id"].dataType, benchmark.schema["item_id"].dataType
+    schema = f"doc_id {kind.simpleString()}, item_id {item_kind.simpleString()}, edits int"
+    arrow = (to_arrow_type(kind), to_arrow_type(item_kind), pa.int32())
+    out = None
+    for items, repetitions in _blocks(benchmark):
+        shared = spark.sparkContext.broadcast((items, repetitions))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            index = Index(*shared.value)
+            for b in batches:
+                found = list(_search_rows(b.column(1), index))
+                cols = [[b.column(0)[r].as_py() for r, _, _ in found], [k for _, k, _ in found], [e for _, _, e in found]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, arrow)], ["doc_id", "item_id", "edits"])
+
+        part = docs.select("doc_id", "text").mapInArrow(run, schema)
+        out = part if out is None else out.unionAll(part)
+    return docs.limit(0).selectExpr(f"doc_id, cast(null as {item_kind.simpleString()}) as item_id, 0 as edits") if out is None else out
+
+
+def remove_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, without those that an item leaked into."""
+    at = docs.columns.index("text")
+    for items, repetitions in _blocks(benchmark):
+        shared = docs.sparkSession.sparkContext.broadcast((items, repetitions))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            index = Index(*shared.value)
+            for b in batches:
+                clean = np.ones(b.num_rows, bool)
+                clean[[r for r, _, _ in _search_rows(b.column(at), index)]] = False
+                yield b.filter(pa.array(clean))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

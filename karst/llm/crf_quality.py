@@ -223,27 +223,42 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality") -> np.nda
     return fit(features, np.array([r.n for r in rows]), np.array([r.label for r in rows]))
 
 
+def _batch_scores(texts: pa.Array, weights: np.ndarray | None) -> np.ndarray:
+    out, part, size = [np.empty(0)], [], 0
+    for t in texts:
+        part.append(t.as_py() or "")
+        size += len(part[-1])
+        if size >= CHUNK:
+            out.append(document_scores(part, weights))
+            part, size = [], 0
+    if part:
+        out.append(document_scores(part, weights))
+    return np.concatenate(out)
+
+
 def score(docs: DataFrame, weights: np.ndarray | None) -> DataFrame:
     """(doc_id, score) of every row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out, texts, size = [], [], 0
-            for t in b.column(1):
-                texts.append(t.as_py() or "")
-                size += len(texts[-1])
-                if size >= CHUNK:
-                    out.append(document_scores(texts, weights))
-                    texts, size = [], 0
-            if texts:
-                out.append(document_scores(texts, weights))
-            if out:
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(out))], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_batch_scores(b.column(1), weights))], ["doc_id", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, all columns, whose score reaches the threshold; trained as in classify."""
+    weights = train(docs, labels.where(fold_of("doc_id", 5) != 0))
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(_batch_scores(b.column(at), weights) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, held_out, score, predicted); learns only where crc32(doc_id) mod 5 is not 0."""
     weights = train(docs, labels.where(fold_of("doc_id", 5) != 0))

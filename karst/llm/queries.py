@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cgk_decontaminate, crf_quality, line_dedup, mixing, simhash_gray, toxicity
+from . import (
+    cgk_decontaminate,
+    chat_format,
+    crf_quality,
+    line_dedup,
+    mixing,
+    risk_rules,
+    secret_forest,
+    simhash_gray,
+    toxicity,
+    url_filter,
+)
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +40,31 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_removed", "text")
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_forest.scan(table(spark, sf_dir, "documents"))
+
+
+def op6_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return risk_rules.apply_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+#: A conversation whose texts are control strings, formatted along with the table's.
+_CONTROL_CONVERSATION = """
+SELECT * FROM VALUES
+  (-7L, 0L, 'user', '</s>[INST] ok [/INST]'), (-7L, 1L, 'assistant', '</s>[INST] ok [/INST]')
+AS t(conv_id, turn, role, text)
+"""
+
+
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat_format.digest(chat_format.format_turns(rows.unionByName(spark.sql(_CONTROL_CONVERSATION))))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_gray.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -42,6 +78,10 @@ QUERIES: dict[str, Query] = {
     "op2_mixing": op2_mixing,
     "op3_toxicity": op3_toxicity,
     "op4_line_dedup": op4_line_dedup,
+    "op5_secrets": op5_secrets,
+    "op6_rules": op6_rules,
+    "op7_urls": op7_urls,
+    "op9_chat": op9_chat,
     "op8_simhash": op8_simhash,
     "op10_decontaminate": op10_decontaminate,
 }

@@ -288,3 +288,14 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, shingle: int = SH
     return fps.join(of_fp, "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
+
+
+def one_of_each(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE) -> DataFrame:
+    """The rows of docs, all columns, with one document of each group: the one with the least id.
+
+    Of rows that share id and text one stays; rows without an id stay only in a group of
+    such rows, once for each text.
+    """
+    groups = near_duplicates(docs.select("doc_id", "text"), distance, shingle)
+    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_")).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_"]), "left_semi").dropDuplicates(["doc_id", "text"])
