@@ -42,12 +42,19 @@ class Value:
     integral: Column
     #: what to sort and group by
     key: Column
+    #: whether num, string, flag and text are there; never null, and a plain null test on a
+    #: typed column, so that "known and compares" reaches the scan as a pushed filter
+    has_num: Column
+    has_string: Column
+    has_flag: Column
+    has_text: Column
 
 
 def _absent() -> Value:
     none = F.lit(None)
     no = F.lit(False)
-    return Value(no, no, none.cast("double"), none.cast("string"), none.cast("boolean"), none.cast("string"), no, none.cast("string"))
+    text = none.cast("string")
+    return Value(no, no, none.cast("double"), text, none.cast("boolean"), text, no, text, no, no, no, no)
 
 
 def _typed(c: Column, kind: T.DataType) -> Value:
@@ -63,6 +70,10 @@ def _typed(c: Column, kind: T.DataType) -> Value:
         text=c.cast("string") if scalar else none.text,
         integral=F.lit(isinstance(kind, _INTEGRAL)),
         key=c,
+        has_num=c.isNotNull() if number else none.has_num,
+        has_string=c.isNotNull() if isinstance(kind, T.StringType) else none.has_string,
+        has_flag=c.isNotNull() if isinstance(kind, T.BooleanType) else none.has_flag,
+        has_text=c.isNotNull() if scalar else none.has_text,
     )
 
 
@@ -97,15 +108,22 @@ def _variant(v: Column) -> Value:
     kind = F.schema_of_variant(v)
     number = kind.isin("BIGINT", "DOUBLE", "FLOAT", "INT", "SMALLINT", "TINYINT") | kind.startswith("DECIMAL")
     get = lambda t: F.try_variant_get(v, "$", t)
+    num, string = F.when(number, get("double")), F.when(kind == "STRING", get("string"))
+    flag = F.when(kind == "BOOLEAN", get("boolean"))
+    text = F.when(~kind.startswith("OBJECT") & ~kind.startswith("ARRAY"), get("string"))
     return Value(
         present=v.isNotNull(),
         null=sure(F.is_variant_null(v)),
-        num=F.when(number, get("double")),
-        string=F.when(kind == "STRING", get("string")),
-        flag=F.when(kind == "BOOLEAN", get("boolean")),
-        text=F.when(~kind.startswith("OBJECT") & ~kind.startswith("ARRAY"), get("string")),
+        num=num,
+        string=string,
+        flag=flag,
+        text=text,
         integral=sure(kind.isin("BIGINT", "INT", "SMALLINT", "TINYINT")),
         key=get("string"),
+        has_num=num.isNotNull(),
+        has_string=string.isNotNull(),
+        has_flag=flag.isNotNull(),
+        has_text=text.isNotNull(),
     )
 
 

@@ -40,14 +40,16 @@ def equals(v: Value, x: Literal, how: Equality = Equality.TOLERANT) -> Column:
             return v.null
         return ~v.present | v.null
     if isinstance(x, bool):
-        same = sure(v.flag == F.lit(x))
-        return same | sure(v.text == F.lit(str(x).lower())) if how is Equality.LOOSE else same
+        same = v.has_flag & (v.flag == F.lit(x))
+        return same | (v.has_text & (v.text == F.lit(str(x).lower()))) if how is Equality.LOOSE else same
     if is_number(x):
-        same = sure(v.num == F.lit(float(x)))
+        same = v.has_num & (v.num == F.lit(float(x)))
         if how is Equality.STRICT:
             return same & (v.integral if isinstance(x, int) else ~v.integral)
-        return same | sure(v.text == F.lit(str(x))) if how is Equality.LOOSE else same
-    return sure((v.text if how is Equality.LOOSE else v.string) == F.lit(x))
+        return same | (v.has_text & (v.text == F.lit(str(x)))) if how is Equality.LOOSE else same
+    if how is Equality.LOOSE:
+        return v.has_text & (v.text == F.lit(x))
+    return v.has_string & (v.string == F.lit(x))
 
 
 def differs(v: Value, x: Literal) -> Column:
@@ -65,7 +67,7 @@ _COMPARE = {
 
 def compare(v: Value, op: str, x: Literal) -> Column:
     """Numeric comparison; false where either side isn't a number."""
-    return sure(_COMPARE[op](v.num, F.lit(float(x)))) if is_number(x) else F.lit(False)
+    return v.has_num & _COMPARE[op](v.num, F.lit(float(x))) if is_number(x) else F.lit(False)
 
 
 def compare_loose(v: Value, op: str, x: Literal) -> Column:
@@ -95,19 +97,19 @@ def is_in(v: Value, xs: Iterable[Literal], how: Equality = Equality.STRICT) -> C
     terms = []
     strings = [x for x in xs if isinstance(x, str)]
     if strings and how is not Equality.LOOSE:
-        terms.append(sure(v.string.isin(strings)))
+        terms.append(v.has_string & v.string.isin(strings))
         xs = [x for x in xs if not isinstance(x, str)]
     for kind, guard in ((int, v.integral), (float, ~v.integral)):
         numbers = [x for x in xs if is_number(x) and isinstance(x, kind)]
         if numbers and how is Equality.STRICT:
-            terms.append(sure(v.num.isin([float(x) for x in numbers])) & guard)
+            terms.append(v.has_num & v.num.isin([float(x) for x in numbers]) & guard)
             xs = [x for x in xs if not (is_number(x) and isinstance(x, kind))]
     terms += [v.null if x is None and how is not Equality.LOOSE else equals(v, x, how) for x in xs]
     return any_of(terms)
 
 
 def contains(v: Value, part: str) -> Column:
-    return sure(F.contains(v.text, F.lit(part)))
+    return v.has_text & F.contains(v.text, F.lit(part))
 
 
 def matches(v: Value, pattern: str) -> Column:
@@ -116,7 +118,7 @@ def matches(v: Value, pattern: str) -> Column:
         re.compile(pattern)
     except re.error as e:
         raise ValueError(f"bad pattern {pattern!r}: {e}") from e
-    return sure(v.text.rlike(pattern))
+    return v.has_text & v.text.rlike(pattern)
 
 
 def like_found(v: Value, pattern: str) -> Column:
@@ -126,4 +128,4 @@ def like_found(v: Value, pattern: str) -> Column:
 
 def like_whole(v: Value, pattern: str) -> Column:
     """SQL LIKE with % and _, on the whole text, in any letter case."""
-    return sure(v.text.ilike(pattern))
+    return v.has_text & v.text.ilike(pattern)

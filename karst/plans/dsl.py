@@ -172,7 +172,7 @@ class Mapper:
             out = F.lit(True) if out is None else out
             if self.entity is not None:
                 v = s.value("_entity")
-                out = out & (~v.present | P.sure(F.lower(v.text) == self.entity.lower()))
+                out = out & (~v.present | (v.has_text & (F.lower(v.text) == self.entity.lower())))
             return out
 
         return Query(predicate, tuple(self.keys), self.skip_, self.limit_)
@@ -183,8 +183,8 @@ class Mapper:
 
 def _affix(v, x: str, how: str) -> Column:
     if how == "starts":
-        return P.sure(v.text.startswith(x[:-1] if x.endswith("%") else x))
-    return P.sure(v.text.endswith(x[1:] if x.startswith("%") else x))
+        return v.has_text & v.text.startswith(x[:-1] if x.endswith("%") else x)
+    return v.has_text & v.text.endswith(x[1:] if x.startswith("%") else x)
 
 
 def _like_derived(v, x: str) -> Column:
@@ -306,7 +306,7 @@ def by_example(
             elif isinstance(x, str):
                 how = string_match if isinstance(string_match, str) else string_match.get(field, "exact")
                 low = ignore_case is True or (ignore_case is not False and field in ignore_case)
-                terms.append(P.sure(_STRING_MATCH[how](F.lower(v.text) if low else v.text, x.lower() if low else x)))
+                terms.append(v.has_text & _STRING_MATCH[how](F.lower(v.text) if low else v.text, x.lower() if low else x))
             else:
                 terms.append(P.equals(v, x))
         return (P.all_of if match_all else P.any_of)(terms) if terms else F.lit(True)
