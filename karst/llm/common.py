@@ -68,6 +68,14 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """A column name that none of the taken ones equals, in any letter case."""
+    low = {t.lower() for t in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
