@@ -248,7 +248,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         part = docs.select("doc_id", "text").mapInArrow(run, schema)
         out = part if out is None else out.unionAll(part)
-    return docs.limit(0).selectExpr(f"doc_id, cast(null as {item_kind.simpleString()}) as item_id, 0 as edits") if out is None else out
+    return docs.limit(0).selectExpr("doc_id", f"cast(null as {item_kind.simpleString()}) as item_id", "0 as edits") if out is None else out
 
 
 def remove_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

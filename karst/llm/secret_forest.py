@@ -1,7 +1,7 @@
 """Secret scan with a random forest that removes false positives.
 
-Candidates are runs of at least ``SHORTEST`` letters, digits and ``+/_=-`` with a digit
-among them. Each gets features: its length, shares of character kinds, class changes and
+Candidates are runs of at least ``SHORTEST`` letters, digits and ``+/_-`` with a digit
+among them, and the ``=`` signs that end them. Each gets features: its length, shares of character kinds, class changes and
 common letter pairs (character transitions), coverage by dictionary words, signs of a
 path, url or address around it, and the words beside it. A random forest, fitted on the
 driver to a table of labelled findings of at most ``MOST_FINDINGS`` rows, gives the
@@ -31,7 +31,7 @@ SHORTEST = 12
 MOST_FINDINGS = 20_000
 THRESHOLD = 0.5
 TREES, DEPTH = 15, 5
-CANDIDATE = rf"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{{{SHORTEST},}}"
+CANDIDATE = rf"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{{{SHORTEST},}}={{0,2}}"
 
 # Frequent English words and names in code, and frequent letter pairs.
 DICTIONARY = (

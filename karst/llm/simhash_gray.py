@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, fresh
 
 SHINGLE = 3
 SEED = 42
@@ -297,5 +297,6 @@ def one_of_each(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGL
     such rows, once for each text.
     """
     groups = near_duplicates(docs.select("doc_id", "text"), distance, shingle)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_"]), "left_semi").dropDuplicates(["doc_id", "text"])
+    name = fresh("kept", docs.columns)
+    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col(name)), "left_semi").dropDuplicates(["doc_id", "text"])
