@@ -45,6 +45,7 @@ class Scratch:
         self.spark, self.path = spark, f"{shared_dir(spark)}/karst-{name}-{uuid.uuid4().hex}"
         self.n = 0
         self.where: dict[int, str] = {}
+        self.kept: list[DataFrame] = []
 
     def keep(self, df: DataFrame) -> DataFrame:
         """df, written and read again."""
@@ -57,15 +58,24 @@ class Scratch:
             self.spark.conf.set(_CLEANUP, before)
         out = self.spark.read.schema(schema).parquet(path)
         self.where[id(out)] = path
-        out._karst_scratch = self  # keeps id(out) from being given to another frame of ours
+        self.kept.append(out)  # so that no other frame gets its id
         return out
 
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that nothing still to be computed reads."""
-        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
         for t in tables:
-            path = jvm.org.apache.hadoop.fs.Path(self.where.pop(id(t)))
-            path.getFileSystem(conf).delete(path, True)
+            self._delete(self.where.pop(id(t)))
+
+    def drop_all_but(self, *tables: DataFrame) -> None:
+        """Delete every table but these."""
+        kept = {id(t) for t in tables}
+        for k in [k for k in self.where if k not in kept]:
+            self._delete(self.where.pop(k))
+
+    def _delete(self, path: str) -> None:
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
 
 
 def fresh(name: str, taken: list[str]) -> str:

@@ -284,7 +284,9 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, shingle: int = SH
     member = nodes.join(roots, nodes["fp"] == roots["node"]).select("fp", "root", "first")
     least = member.groupBy("root").agg(F.min("first").alias("least"))
     joined = member.join(least, "root").select("fp", "least")
-    of_fp = nodes.join(joined, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
+    # a table of its own, so that the last join is one that Spark can split where many documents share a fingerprint
+    of_fp = scratch.keep(nodes.join(joined, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id")))
+    scratch.drop_all_but(fps, of_fp)
     return fps.join(of_fp, "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
