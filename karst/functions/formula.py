@@ -47,3 +47,17 @@ def ttl_seconds(expires_at: Column, now_ms: Column) -> Column:
 
 def live(expires_at: Column, now_ms: Column) -> Column:
     return expires_at.isNull() | (expires_at >= now_ms)
+
+
+def convert(c: Column, kind: str) -> Column:
+    """A stored value as integer, long, double, string, boolean, instant, date or uuid; null if it can't be one.
+
+    Numbers as instants follow ``instant``, text is read as an ISO date or time.
+    """
+    if kind == "instant":
+        return F.coalesce(instant(c.try_cast("double")), c.cast("string").try_cast("timestamp"))
+    if kind == "uuid":
+        text = F.lower(c.cast("string"))
+        return F.when(text.rlike("^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$"), text)
+    types = {"integer": "int", "long": "bigint", "double": "double", "string": "string", "boolean": "boolean", "date": "date"}
+    return c.try_cast(types[kind])

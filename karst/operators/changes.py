@@ -37,6 +37,12 @@ def numbered_versions(log: DataFrame, key: str = "key", seq: str = "seq") -> Dat
     return log.withColumn("version", F.row_number().over(Window.partitionBy(key).orderBy(seq)))
 
 
+def version_counts(versions: DataFrame, key: str = "key") -> DataFrame:
+    """One row: keys, versions, and the most versions of a key."""
+    per_key = versions.groupBy(key).agg(F.count("*").alias("n"))
+    return per_key.agg(F.count("*").alias("keys"), F.coalesce(F.sum("n"), F.lit(0)).alias("versions"), F.max("n").alias("most"))
+
+
 def diff(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
     """(key, event_type, previous_value, new_value): the changes between two states, values as JSON."""
     pack = lambda df, n: df.select(F.col(key).alias(f"k{n}"), F.to_json(F.struct(*sorted(df.columns))).alias(f"v{n}"))

@@ -35,6 +35,7 @@ class Query:
     sort: tuple[SortKey, ...] = ()
     offset: int = 0
     limit: int | None = None
+    hints: frozenset[str] = frozenset()
 
     @staticmethod
     def all() -> Query:
@@ -77,6 +78,17 @@ class Query:
         """Page number, from 0."""
         return self.window(number * size, size)
 
+    def page_from_one(self, number: int, size: int) -> Query:
+        """Page number, from 1."""
+        return self.page(max(number, 1) - 1, size)
+
+    def hint(self, *names: str) -> Query:
+        """CACHE_RESULT persists the result; hints about indexes and parallelism are for Catalyst to decide and change nothing."""
+        known = {"NO_INDEX", "FORCE_INDEX", "PARALLEL", "CACHE_RESULT", "NO_CACHE"}
+        if not set(names) <= known:
+            raise ValueError(f"unknown hints: {sorted(set(names) - known)}")
+        return replace(self, hints=self.hints | set(names))
+
     def filter(self, df: DataFrame, doc: str | None = None) -> DataFrame:
         """The predicate alone."""
         return df if self.predicate is None else df.where(self.predicate(source_of(df, doc)))
@@ -89,7 +101,8 @@ class Query:
             out = out.orderBy(*[k.column(source) for k in self.sort])
         if self.offset:
             out = out.offset(self.offset)
-        return out if self.limit is None else out.limit(self.limit)
+        out = out if self.limit is None else out.limit(self.limit)
+        return out.persist() if "CACHE_RESULT" in self.hints and "NO_CACHE" not in self.hints else out
 
 
 def _make(test, *fixed):

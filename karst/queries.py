@@ -764,6 +764,35 @@ def formula_fields(spark, d):
     )
 
 
+@query(
+    "SELECT event_id, try_cast(json_extract_string(props, '$.k') AS INTEGER) AS k, epoch_us(ts) // 1000000 AS seconds, CAST(try_cast(event_type AS INTEGER) AS INTEGER) AS none FROM events"
+)
+def convert_values(spark, d):
+    e = t(spark, d, "events")
+    seconds = F.unix_seconds(F.col("ts").cast("timestamp"))
+    at = FX.convert(seconds, "instant")
+    return e.select(
+        "event_id", FX.convert(F.get_json_object("props", "$.k"), "integer").alias("k"), F.unix_seconds(at).alias("seconds"), FX.convert(F.col("event_type"), "integer").alias("none")
+    )
+
+
+@query("SELECT count(*) AS keys, CAST(sum(n) AS BIGINT) AS versions, max(n) AS most FROM (SELECT user_id, count(*) AS n FROM events GROUP BY 1)")
+def version_counts(spark, d):
+    return C.version_counts(_versions(spark, d))
+
+
+@query("SELECT count(*) AS total, count(*) FILTER (event_type = 'error') AS with_ttl, count(*) FILTER (event_type = 'error' AND value < 50) AS expired FROM events")
+def collection_ttl_stats(spark, d):
+    at = F.when(F.col("event_type") == "error", F.when(F.col("value") < 50, NOW - 1).otherwise(NOW + 1)).cast("bigint")
+    return Collection(t(spark, d, "events").withColumn("expires_at", at), "event_id", expires_at="expires_at", now=F.lit(NOW)).ttl_stats()
+
+
+@query("SELECT c_custkey FROM customer WHERE c_nationkey = 3 ORDER BY c_custkey LIMIT 5 OFFSET 5")
+def page_from_one(spark, d):
+    q = Q.eq("c_nationkey", 3).hint("FORCE_INDEX").order_by("c_custkey").page_from_one(2, 5)
+    return q.apply(t(spark, d, "customer")).select("c_custkey")
+
+
 @query("SELECT o_orderkey AS id, o_totalprice AS total, upper(o_orderpriority) AS priority FROM orders")
 def map_entity(spark, d):
     return SC.map_entity(t(spark, d, "orders"), {"id": "o_orderkey", "total": "o_totalprice", "priority": lambda _: F.upper("o_orderpriority")})
