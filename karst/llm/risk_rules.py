@@ -6,8 +6,9 @@ labelled documents. For each measure and stratum (a class of text length) the cu
 a fixed grid are tried from the mildest on; a cutoff holds if the exact binomial
 (Clopper-Pearson) upper bound of the share of good documents it rejects stays within the
 measure's part of ``ALPHA``. Trying stops at the first that doesn't (fixed-sequence
-testing, so the grid costs no confidence); the confidence is Bonferroni-corrected for
-the number of measures and strata. So with probability of at least ``1 - DELTA`` no stratum
+testing, so the grid costs no confidence); of those that hold, the mildest that rejects
+as many bad documents is taken. The confidence is Bonferroni-corrected for the number of
+measures and strata. So with probability of at least ``1 - DELTA`` no stratum
 loses more than ALPHA of its good documents to these rules.
 
 The counts are over all labelled documents; only the grid's counts, of fixed size, reach
@@ -157,7 +158,7 @@ def choose(good: list[int], alpha: float, delta: float) -> int:
 
 def cutoffs(counts: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA, target: str = "quality") -> dict:
     """{(stratum, measure): cutoff} from the counts of documents and (doc_id, target)."""
-    known = counts.join(labelled(labels, target), "doc_id").where(~base_failed() & (F.col("label") == 1))
+    known = counts.join(labelled(labels, target), "doc_id").where(~base_failed() & F.col("label").isin(0, 1))
     steps = []
     for name, value in _values().items():
         # the first cutoff of the grid that rejects the value; the grid's length if none
@@ -167,22 +168,23 @@ def cutoffs(counts: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: f
             first = F.when(b, i).otherwise(first)
         steps.append(F.struct(F.lit(name).alias("name"), first.alias("step")))
     rows = (
-        known.select(_stratum().alias("stratum"), F.explode(F.array(*steps)).alias("s"))
-        .groupBy("stratum", "s.name", "s.step")
+        known.select("label", _stratum().alias("stratum"), F.explode(F.array(*steps)).alias("s"))
+        .groupBy("label", "stratum", "s.name", "s.step")
         .count()
         .collect()
     )
-    table: dict[tuple[int, str], Counter] = {}
+    table: dict[tuple[int, str], tuple[Counter, Counter]] = {}
     for r in rows:
-        table.setdefault((r.stratum, r.name), Counter())[r.step] += r["count"]
+        table.setdefault((r.stratum, r.name), (Counter(), Counter()))[r.label][r.step] += r["count"]
     tests = len(GRIDS) * (len(STRATA) + 1)
     out = {}
-    for (stratum, name), steps_of in sorted(table.items()):
+    for (stratum, name), (bad, good) in sorted(table.items()):
         grid = GRIDS[name]
-        rejected = np.cumsum([steps_of[i] for i in range(len(grid))]).tolist()
-        held = choose([*rejected, sum(steps_of.values())], alpha / len(GRIDS), delta / tests)
-        if held:
-            out[stratum, name] = grid[held - 1]
+        bad_rejected, rejected = (np.cumsum([c[i] for i in range(len(grid))]).tolist() for c in (bad, good))
+        held = choose([*rejected, sum(good.values())], alpha / len(GRIDS), delta / tests)
+        if held and bad_rejected[held - 1]:
+            # a milder one that rejects as many bad documents spares good ones; it has been tried before, so it holds too
+            out[stratum, name] = grid[bad_rejected.index(bad_rejected[held - 1])]
     return out
 
 
