@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -73,6 +74,28 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cgk_decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def _chat_sql() -> str:
+    """What reading back must give: digests of the table's own texts, and the escaped lengths."""
+    control = "|".join(re.escape(c) for c in (*chat_format.CONTROL, "\\")).replace("'", "''")
+    marks = len(chat_format.TURN + chat_format.TEXT + chat_format.END)
+
+    def shown(x: str) -> str:
+        return f"length({x}) + len(regexp_extract_all({x}, '{control}'))"
+
+    order = "ORDER BY turn NULLS FIRST, role, text"
+    loss = f"coalesce(string_agg(text, '' {order}) FILTER (role = '{chat_format.LOSS_ROLE}'), '')"
+    return f"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' {order})) AS turns_sha256,
+       length({loss}) AS loss_chars, sha256({loss}) AS loss_sha256,
+       CAST(sum({marks} + {shown("role")} + {shown("text")}) AS BIGINT) AS formatted_chars
+FROM c GROUP BY conv_id
+"""
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality": op1_quality,
     "op2_mixing": op2_mixing,
@@ -81,12 +104,13 @@ QUERIES: dict[str, Query] = {
     "op5_secrets": op5_secrets,
     "op6_rules": op6_rules,
     "op7_urls": op7_urls,
-    "op9_chat": op9_chat,
     "op8_simhash": op8_simhash,
+    "op9_chat": op9_chat,
     "op10_decontaminate": op10_decontaminate,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op9_chat": _chat_sql(),
     "op4_line_dedup": r"""
 WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
 l AS (SELECT doc_id, i, ls[i] AS line FROM d, unnest(generate_series(1, len(ls))) AS u(i)),
