@@ -23,14 +23,19 @@ def _equal_to(term: str):
     return lambda w: w == F.lit(term)
 
 
-def score(text: Column, query: str) -> Column:
+def score_parts(text: Column) -> Column:
+    """A struct of the trimmed lower-case text and its words, from which ``score_of`` works."""
+    low = F.trim(F.lower(F.coalesce(text, F.lit(""))))
+    return F.struct(low.alias("low"), F.split(low, r"\s+").alias("words"))
+
+
+def score_of(parts: Column, query: str) -> Column:
     """How well a text fits the white-space separated terms of query; 0 for an empty text.
 
     Each term that occurs as a substring gives 1, half a point for each word that equals
     it, 2 if the text begins with it, and 1 / words; the sum goes by 4.5 points a term.
     """
-    low = F.trim(F.lower(F.coalesce(text, F.lit(""))))
-    words = F.split(low, r"\s+")
+    low, words = parts["low"], parts["words"]
     terms = query.lower().split()
     if not terms:
         raise ValueError("the query has no term")
@@ -46,6 +51,10 @@ def score(text: Column, query: str) -> Column:
     return F.when(low == "", 0.0).otherwise(total / (4.5 * len(terms)))
 
 
+def score(text: Column, query: str) -> Column:
+    return score_of(score_parts(text), query)
+
+
 def similarity(a: Column, b: Column) -> Column:
     """1 - edit distance / longer length, in any letter case; 1 for two empty texts."""
     longest = F.greatest(F.length(a), F.length(b))

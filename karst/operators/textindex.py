@@ -10,10 +10,17 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 
 
+def scored(df: DataFrame, query: str, field: str = "text") -> DataFrame:
+    """df with a score beside each row that has the field."""
+    # a generator, so that the words are split once and not at each use
+    parts = df.where(F.col(field).isNotNull()).select("*", F.explode(F.array(X.score_parts(F.col(field)))).alias("score_parts_"))
+    return parts.withColumn("score", X.score_of(F.col("score_parts_"), query)).drop("score_parts_")
+
+
 def search(df: DataFrame, query: str, field: str = "text", min_score: float = 0.1, max_results: int = 10, tie: str | None = None) -> DataFrame:
     """Rows of at least min_score, best first; one pass and a top-k."""
-    scored = df.where(F.col(field).isNotNull()).withColumn("score", X.score(F.col(field), query)).where(F.col("score") >= min_score)
-    return scored.orderBy(F.desc("score"), *([tie] if tie else [])).limit(max_results)
+    hits = scored(df, query, field).where(F.col("score") >= min_score)
+    return hits.orderBy(F.desc("score"), *([tie] if tie else [])).limit(max_results)
 
 
 def postings(df: DataFrame, id_col: str, field: str) -> DataFrame:

@@ -596,9 +596,8 @@ _TOKENS = r"list_filter(string_split_regex(lower(text), '[^\p{L}\p{Nd}]+'), lamb
     "SELECT doc_id, round(s, 6) AS score FROM s WHERE s >= 0.1 ORDER BY round(s, 6) DESC, doc_id LIMIT 10"
 )
 def text_score_topk(spark, d):
-    docs = t(spark, d, "documents").select("doc_id", "text")
-    scored = docs.select("doc_id", F.round(X.score(F.col("text"), "the ent"), 6).alias("score")).where("score >= 0.1")
-    return scored.orderBy(F.desc("score"), "doc_id").limit(10)
+    docs = TI.scored(t(spark, d, "documents").select("doc_id", "text"), "the ent")
+    return docs.select("doc_id", F.round("score", 6).alias("score")).where("score >= 0.1").orderBy(F.desc("score"), "doc_id").limit(10)
 
 
 @query("SELECT p_partkey, levenshtein(lower(p_name), 'part 100') AS d, round(1 - levenshtein(lower(p_name), 'part 100') / greatest(length(p_name), 8)::DOUBLE, 6) AS s FROM part")
