@@ -26,6 +26,7 @@ other columns are not read.
 
 from __future__ import annotations
 
+import random
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -43,6 +44,12 @@ SEED = 42
 DISTANCE = 3
 #: Rows of a node and of a leaf.
 NODE, LEAF = 2048, 64
+#: What one_alike calls alike: Jaccard similarity of sets of so many words.
+ALIKE, WORDS = 0.8, 5
+#: Its index: differing bits of 128, tables, and bits of a table's key.
+WIDE, TABLES, KEY_BITS = 28, 32, 12
+#: Texts that one_alike holds against each other in one piece.
+CHUNK = 256
 _FLIP = np.uint64(1 << 63)
 
 
@@ -100,7 +107,9 @@ _CHUNK = "t int, key bigint, no bigint, fps array<bigint>, mask bigint, pattern
 
 
 def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Cut rows that come in the order (t, key, Gray rank) into nodes.
+    """Cut rows (t, key, words and id) that come in the order (t, key, Gray rank) into nodes.
+
+    fps has the rows' words and ids one after another; a single column is word and id in one.
 
     A node alone in its group is left out if it has one member, unless the group may go on
     in the partition before or after.
@@ -110,11 +119,11 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def node(key, fps):
         nonlocal no
-        u = fps.view(np.uint64)
+        u = fps[:, 0].view(np.uint64)
         differ = np.bitwise_or.reduce(u ^ u[0])
         no += 1
         mask = ~differ
-        return (*key, pid << 32 | no, fps, mask.view(np.int64), (u[0] & mask).view(np.int64))
+        return (*key, pid << 32 | no, fps.ravel(), mask.view(np.int64), (u[0] & mask).view(np.int64))
 
     def close(edge: bool):
         """The group of cur is over."""
@@ -134,9 +143,10 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return out
 
     for b in batches:
-        t, key, fp = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        t, key, *fp = (b.column(i).to_numpy(zero_copy_only=False) for i in range(b.num_columns))
         if not len(t):
             continue
+        fp = np.stack(fp, axis=1)
         cuts = np.flatnonzero((t[1:] != t[:-1]) | (key[1:] != key[:-1])) + 1
         for lo, hi in zip([0, *cuts], [*cuts, len(t)]):
             now = (int(t[lo]), int(key[lo]))
@@ -148,7 +158,7 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 parts.append(fp[a : min(a + NODE, hi)])
                 if sum(map(len, parts)) >= NODE:
                     rows.append(node(cur, np.concatenate(parts)))
-                    parts, split = [np.empty(0, np.int64)], True
+                    parts, split = [fp[:0]], True
         if len(rows) > 1000:
             yield batch()
     if cur is not None and sum(map(len, parts)):
@@ -161,22 +171,26 @@ def _leaves(fps: np.ndarray) -> list[tuple[np.ndarray, np.uint64, np.uint64]]:
     out = []
     for i in range(0, len(fps), LEAF):
         x = fps[i : i + LEAF]
-        mask = ~np.bitwise_or.reduce(x ^ x[0])
-        out.append((x, mask, x[0] & mask))
+        mask = ~np.bitwise_or.reduce(x[:, 0] ^ x[0, 0])
+        out.append((x[:, : max(1, x.shape[1] - 1)], mask, x[0, 0] & mask))
     return out
 
 
 def forest(a: np.ndarray, b: np.ndarray | None, distance: int) -> list[tuple[int, int]]:
-    """Edges that join what links inside a (b is None), or between a and b."""
+    """Edges that join what links inside a (b is None), or between a and b.
+
+    a and b: a row for each member, its words (distances add up) and its id; a single column is both.
+    """
     left, right = _leaves(a), _leaves(a if b is None else b)
     near = np.zeros((len(a), len(right) and sum(len(x) for x, _, _ in right)), bool)
     for i, (x, xm, xp) in enumerate(left):
         for j, (y, ym, yp) in enumerate(right):
             if np.bitwise_count((xp ^ yp) & xm & ym) <= distance:
                 near[i * LEAF : i * LEAF + len(x), j * LEAF : j * LEAF + len(y)] = (
-                    np.bitwise_count(x[:, None] ^ y[None, :]) <= distance
+                    sum(np.bitwise_count(x[:, None, w] ^ y[None, :, w]) for w in range(x.shape[1])) <= distance
                 )
     edges, free = [], np.ones(near.shape[1], bool)
+    a, b = a[:, -1], None if b is None else b[:, -1]
     if b is None:
         # breadth first: each row of near is read once
         for i in range(len(a)):
@@ -206,13 +220,13 @@ def forest(a: np.ndarray, b: np.ndarray | None, distance: int) -> list[tuple[int
     return edges
 
 
-def _edges(distance: int, two: bool):
+def _edges(distance: int, two: bool, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found: list[tuple[int, int]] = []
             for i in range(b.num_rows):
-                x = b.column(0)[i].values.to_numpy().view(np.uint64)
-                y = b.column(1)[i].values.to_numpy().view(np.uint64) if two else None
+                x = b.column(0)[i].values.to_numpy().view(np.uint64).reshape(-1, width)
+                y = b.column(1)[i].values.to_numpy().view(np.uint64).reshape(-1, width) if two else None
                 found += forest(x, y, distance)
             e = np.array(found, np.uint64).reshape(-1, 2).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(e.min(1)), pa.array(e.max(1))], ["u", "v"])
@@ -226,15 +240,21 @@ def links(fps: DataFrame, scratch: Scratch, distance: int = DISTANCE) -> DataFra
     tables = F.array(*[
         F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for t, m in enumerate(masks)
     ])
-    rows = fps.select("fp", F.explode(tables).alias("g")).select("g.t", "g.key", "fp")
-    rank = gray_rank(F.col("fp"))
+    return _linked(fps.select("fp", F.explode(tables).alias("g")).select("g.t", "g.key", "fp"), scratch, distance)
+
+
+def _linked(rows: DataFrame, scratch: Scratch, distance: int) -> DataFrame:
+    """The edges of rows (t, key, words and id)."""
+    cols = rows.columns[2:]
+    rank = gray_rank(F.col(cols[0]))
     nodes = scratch.keep(
         rows.repartitionByRange("t", "key", rank)
         .sortWithinPartitions("t", "key", rank)
-        .select("t", "key", "fp")
+        .select("t", "key", *cols)
         .mapInArrow(_nodes, _CHUNK)
     )
-    inside = nodes.where(F.size("fps") > 1).select("fps").mapInArrow(_edges(distance, False), "u bigint, v bigint")
+    width = len(cols)
+    inside = nodes.where(F.size("fps") > width).select("fps").mapInArrow(_edges(distance, False, width), "u bigint, v bigint")
     a, b = nodes.alias("a"), nodes.alias("b")
     meet = a.join(
         b,
@@ -244,7 +264,7 @@ def links(fps: DataFrame, scratch: Scratch, distance: int = DISTANCE) -> DataFra
         ),
     )
     between = meet.select(F.col("a.fps").alias("x"), F.col("b.fps").alias("y")).mapInArrow(
-        _edges(distance, True), "u bigint, v bigint"
+        _edges(distance, True, width), "u bigint, v bigint"
     )
     return inside.unionAll(between).distinct()
 
@@ -302,3 +322,118 @@ def one_of_each(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGL
     name = fresh("kept", docs.columns)
     kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(name)).distinct()
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col(name)), "left_semi").dropDuplicates(["doc_id", "text"])
+
+
+# --- one of each by Jaccard similarity ---------------------------------------------------------
+
+
+def shingles(text: str | None, words: int = WORDS) -> set[bytes]:
+    """128-bit hashes of the distinct word shingles of a text."""
+    ws = (text or "").encode().lower().split()
+    if 0 < len(ws) < words:
+        ws = [b" ".join(ws)]
+    elif ws:
+        ws = map(b" ".join, zip(*(ws[i:] for i in range(words))))
+    return {xxhash.xxh3_128_digest(w, SEED) for w in ws}
+
+
+def wide_fingerprint(found: set[bytes]) -> tuple[int, int, int]:
+    """(id of the set, first and second word of its 128-bit SimHash), as signed longs."""
+    digests = np.frombuffer(b"".join(found), np.uint8).reshape(-1, 16)
+    ones = np.zeros(128, np.int64)
+    for i in range(0, len(digests), 1 << 15):
+        ones += np.unpackbits(digests[i : i + (1 << 15)], axis=1).sum(axis=0, dtype=np.int32)
+    a, b = np.packbits(2 * ones > len(digests)).view(np.int64).tolist()
+    return int(np.frombuffer(b"".join(found), np.int64).sum()), a, b
+
+
+def _marks(docs: DataFrame, text: bool) -> DataFrame:
+    """(doc_id, sid, a, b, and the text or its hash): the text's set of shingles and its fingerprint."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            marks = [wide_fingerprint(shingles(t.as_py())) for t in b.column(1)]
+            cols = [pa.array(c, pa.int64()) for c in zip(*marks)] or [pa.array([], pa.int64())] * 3
+            last = b.column(1) if text else b.column(2)
+            yield pa.RecordBatch.from_arrays([b.column(0), *cols, last], ["doc_id", "sid", "a", "b", "text" if text else "th"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, sid bigint, a bigint, b bigint, {'text string' if text else 'th bigint'}"
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(run, schema)
+
+
+def _wide_links(nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """Edges of nodes (sid, a, b) that agree on a table's bits and differ in no more than WIDE of 128."""
+    rng = random.Random(SEED)
+    groups = []
+    for t in range(TABLES):
+        x, y = ("a", "b") if t % 2 else ("b", "a")
+        mask = sum(1 << k for k in rng.sample(range(64), KEY_BITS))
+        key = F.col(x).bitwiseAND(F.lit(_signed(mask)))
+        groups.append(F.struct(F.lit(t).alias("t"), key.alias("key"), F.col(x).alias("x"), F.col(y).alias("y"), "sid"))
+    return _linked(nodes.select(F.inline(F.array(*groups))), scratch, WIDE)
+
+
+def _alike(table: pa.Table) -> pa.Table:
+    """(u, v) of rows (.., sid, text, place) in the order of place: u is the first row before v with Jaccard ALIKE or
+    more that isn't itself a v."""
+    leaders: list[tuple[int, set[bytes]]] = []
+    edges = []
+    places = [tuple(p.values()) for p in table.column("place").to_pylist()]
+    order = sorted(range(table.num_rows), key=places.__getitem__)
+    sids, texts = table.column("sid").to_pylist(), table.column("text")
+    for i in order:
+        x = shingles(texts[i].as_py())
+        for sid, y in leaders:
+            if min(len(x), len(y)) >= ALIKE * max(len(x), len(y)):
+                both = len(x & y)
+                if both >= ALIKE * (len(x) + len(y) - both):
+                    edges.append((sid, sids[i]))
+                    break
+        else:
+            leaders.append((sids[i], x))
+    u, v = zip(*edges) if edges else ((), ())
+    return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+
+def one_alike(docs: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, with one document of each group of texts whose sets of WORDS-word shingles have
+    a Jaccard similarity of ALIKE or more: the one with the least id.
+
+    Candidates are components of 128-bit fingerprints in the Gray-order index. In a component texts are held, in the
+    order of their ids, against those that stay so far, by their exact sets: chunks of a bounded size first, then what
+    stays of all chunks, each pair of chunks. So two candidates that are alike never both stay, and a document goes
+    only if verified links join it to one that stays. Null, empty and wordless texts are alike. Of rows that share id
+    and text one stays.
+    """
+    scratch = Scratch(docs.sparkSession, "alike")
+    marks = scratch.keep(_marks(docs, False))
+    nodes = scratch.keep(marks.groupBy("sid").agg(F.min("doc_id").alias("first"), F.min("a").alias("a"), F.min("b").alias("b")))
+    roots = scratch.keep(connected(_wide_links(nodes, scratch), scratch))
+    sized = roots.join(roots.groupBy("root").count(), "root")
+    member = nodes.select("sid", "first").join(sized, F.col("sid") == F.col("node")).select("sid", "first", "root", "count")
+    texts = docs.join(member.select(F.col("first").alias("f_")).distinct(), F.col("doc_id").eqNullSafe(F.col("f_")), "left_semi")
+    texts = _marks(texts, True).select(F.col("sid").alias("s_"), "text").dropDuplicates(["s_"])
+    place = F.struct(F.col("first").isNull().alias("none"), "first", "sid")
+    member = scratch.keep(member.join(texts, F.col("sid") == F.col("s_")).select("sid", "text", place.alias("place"), "root", "count"))
+
+    part = lambda n: F.pmod(F.xxhash64("sid"), F.ceil(n / CHUNK))
+    edges = scratch.keep(member.withColumn("i", part(F.col("count"))).groupBy("root", "i").applyInArrow(_alike, "u bigint, v bigint"))
+    left = member.where(F.col("count") > CHUNK).drop("count").join(edges.select(F.col("v").alias("sid")), "sid", "left_anti")
+    left = left.join(left.groupBy("root").count(), "root").withColumns({"n": F.ceil(F.col("count") / CHUNK), "i": part(F.col("count"))})
+    other = F.explode(F.sequence(F.lit(0), F.greatest(F.col("n") - 1, F.lit(0))))
+    left = left.withColumn("j", other).where("i <> j or n = 1").withColumns({"i": F.least("i", "j"), "j": F.greatest("i", "j")})
+    edges = scratch.keep(edges.unionAll(left.groupBy("root", "i", "j").applyInArrow(_alike, "u bigint, v bigint")))
+
+    group = connected(edges, scratch)
+    member = nodes.join(group, F.col("sid") == F.col("node")).select("sid", "root", "first")
+    least = member.groupBy("root").agg(F.min("first").alias("least"))
+    least = member.join(least, "root").select(F.col("sid").alias("s_"), "least")
+    # a table of its own, so that the join with marks can be split where many documents share a set
+    kept = scratch.keep(nodes.join(least, F.col("sid") == F.col("s_"), "left").select("sid", F.coalesce("least", "first").alias("least")))
+    one, th = fresh("kept", docs.columns), fresh("th", docs.columns)
+    kept = marks.join(kept, "sid").where(F.col("doc_id").eqNullSafe(F.col("least")))
+    kept = scratch.keep(kept.select(F.col("doc_id").alias(one), F.col("th").alias(th)).distinct())
+    scratch.drop_all_but(kept)
+    own = F.col("doc_id").eqNullSafe(F.col(one)) & (F.xxhash64("text") == F.col(th))
+    return docs.join(kept, own, "left_semi").dropDuplicates(["doc_id", "text"])

@@ -209,6 +209,56 @@ def test_simhash_edges(spark, edge, no_docs):
     assert simhash_gray.near_duplicates(no_docs).count() == 0 and simhash_gray.one_of_each(no_docs).count() == 0
 
 
+def brute_jaccard(a, b):
+    def of(t):
+        w = t.lower().split()
+        return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    return len(of(a) & of(b)) / len(of(a) | of(b))
+
+
+def edited(rng, text, n):
+    words = text.split()
+    for _ in range(n):
+        words[rng.randrange(len(words))] = f"new{rng.randrange(10**6)}"
+    return " ".join(words)
+
+
+@pytest.mark.parametrize("chunk", [256, 4])
+def test_pipeline_near_dedup_against_brute_jaccard(spark, monkeypatch, chunk):
+    monkeypatch.setattr(simhash_gray, "CHUNK", chunk)
+    rng = random.Random(8)
+    texts = []
+    for k in range(60):
+        base = prose(rng, rng.choice([40, 120, 300]), [f"w{i}" for i in range(3000)])
+        texts += [base] + [edited(rng, base, max(1, len(base.split()) * (k % 4) // 100)) for _ in range(3)]
+    rng.shuffle(texts)
+    pairs = [(i, j) for j in range(len(texts)) for i in range(j) if brute_jaccard(texts[i], texts[j]) >= 0.8]
+    docs = docs_of(spark, list(enumerate(texts)), extra=True)
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, None).collect()}
+    assert len(pairs) > 100
+    assert sum(i in kept and j in kept for i, j in pairs) <= 0.03 * len(pairs)
+    # what goes is joined to something that stays by links that hold
+    near = {i: set() for i in range(len(texts))}
+    for i, j in pairs:
+        near[i].add(j)
+        near[j].add(i)
+    for i in set(near) - kept:
+        seen, todo = {i}, [i]
+        while todo:
+            todo += (new := near[todo.pop()] - seen)
+            seen |= new
+        assert seen & kept
+
+
+def test_one_alike_edges(spark, edge, no_docs):
+    kept = simhash_gray.one_alike(edge)
+    assert kept.columns == edge.columns
+    # 1, 2, 3 and the null text are alike (no words); the one with the least id stays
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == [(False, i) for i in (1, 4, 5, 6, 7, 8, 9, 10)] + [(True, 0)]
+    assert simhash_gray.one_alike(no_docs).count() == 0
+
+
 # --- 10: decontamination --------------------------------------------------------------------
 
 
