@@ -20,7 +20,7 @@ Texts are compared in lower case (A-Z) with white space collapsed. Items go to t
 executors in blocks of at most ``BLOCK``; each block is one pass over the documents.
 
 Edge cases: null and empty texts and items never match; items too short for a walk are
-looked up literally; a null doc_id is reported as null; equal rows are reported each; empty
+looked up literally; a null doc_id or item_id is reported as null; equal rows are reported each; empty
 tables give an empty result; other columns are not read.
 """
 
@@ -209,12 +209,12 @@ def repetitions_for(items: list[str], recall: float = RECALL) -> int:
 
 def _blocks(benchmark: DataFrame) -> Iterator[tuple[list[tuple[int, str]], int]]:
     """(items, repetitions) of each block; an item's block is the hash of its id and text."""
-    texts = benchmark.where("item_id is not null and text is not null").select("item_id", "text").dropDuplicates()
+    texts = benchmark.where("text is not null").select("item_id", "text").dropDuplicates()
     n_blocks = -(-texts.count() // BLOCK)
     for block in range(n_blocks):
         part = texts.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == block)
         # about BLOCK rows: the block's size is the bound
-        items = sorted((r.item_id, r.text) for r in part.collect())
+        items = sorted(((r.item_id, r.text) for r in part.collect()), key=lambda x: (x[0] is None, *x))
         yield items, repetitions_for([t for _, t in items])
 
 

@@ -323,6 +323,16 @@ def test_short_items_blocks_and_edges(spark, edge, no_docs, monkeypatch):
     assert cgk_decontaminate.remove_leaks(edge, none).count() == len(EDGE)
 
 
+def test_items_without_an_id(spark):
+    rng = random.Random(12)
+    items = [prose(rng, 40) for _ in range(3)]
+    bench = spark.createDataFrame([(None, items[0]), (None, items[1]), (7, items[2]), (None, None)], "item_id bigint, text string")
+    docs = docs_of(spark, [(i, f"{prose(rng, 9)} {t} {prose(rng, 9)}") for i, t in enumerate(items)] + [(3, prose(rng, 80))])
+    got = sorted((r.doc_id, r.item_id) for r in cgk_decontaminate.find_leaks(docs, bench).collect())
+    assert got == [(0, None), (1, None), (2, 7)]
+    assert [r.doc_id for r in cgk_decontaminate.remove_leaks(docs, bench).collect()] == [3]
+
+
 def test_repetitions_reach_the_recall():
     rng = random.Random(6)
     items = [prose(rng, 40, [f"{a}{b}{c}" for a in "ktmr" for b in "aeiou" for c in ("n", "s", "ra", "lo")]) for _ in range(60)]
