@@ -19,8 +19,9 @@ any stretch of the document around the hit, by a bit-parallel search.
 Texts are compared in lower case (A-Z) with white space collapsed. Items go to the
 executors in blocks of at most ``BLOCK``; each block is one pass over the documents.
 
-Edge cases: null and empty texts and items never match; items too short for a walk are
-looked up literally; a null doc_id or item_id is reported as null; equal rows are reported each; empty
+Edge cases: null and empty texts and items never match; items too short for the
+hashes go through an exact edit search between word borders, where punctuation counts as a
+space; a null doc_id or item_id is reported as null; equal rows are reported each; empty
 tables give an empty result; other columns are not read.
 """
 
@@ -41,6 +42,8 @@ MOST_EDITS = 0.2
 EDITS, RECALL, MOST_REPETITIONS = 0.15, 0.95, 8
 STEPS, SAMPLED, STRIDE = 40, 20, 2
 BLOCK = 20_000
+#: Items of fewer characters, or with fewer windows that hold a walk, go through the exact search.
+SHORT, FEW = 80, 8
 #: Bytes of text that are looked at together; a longer text is a batch of its own.
 CHUNK = 4 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -116,6 +119,52 @@ def least_edits(item: str, region: str) -> int:
     return best
 
 
+def bare(text: str) -> str:
+    """A text with a space at either end and for each ASCII character that is neither letter nor digit."""
+    return f" {text.translate(_BARE)} "
+
+
+_BARE = {c: " " for c in range(128) if not chr(c).isalnum()}
+
+
+class Exact:
+    """An item that is looked for at any place, between word borders.
+
+    Of allowed + 1 pieces of the item one at least is in every stretch within the allowed edits.
+    """
+
+    def __init__(self, item: str):
+        self.item, self.allowed = bare(item), int(MOST_EDITS * len(item))
+        n = self.allowed + 1
+        edges = [len(self.item) * i // n for i in range(n + 1)]
+        self.pieces = [(a, self.item[a:b]) for a, b in zip(edges, edges[1:])]
+
+    def edits(self, text: str) -> int | None:
+        """Least edits of a stretch of a bare text, or None if more than allowed."""
+        if self.item in text:
+            return 0
+        if not self.allowed:
+            return None
+        at = set()
+        for a, piece in self.pieces:
+            k = text.find(piece)
+            while k >= 0:
+                at.add(max(0, k - a))
+                k = text.find(piece, k + 1)
+        best, end = None, 0
+        at = sorted(at)
+        for i, lo in enumerate(at):
+            # stretches that overlap are searched as one
+            end = max(end, lo + len(self.item) + self.allowed)
+            if i == 0 or lo - self.allowed > last:
+                first = max(0, lo - self.allowed)
+            last = end
+            if i + 1 == len(at) or at[i + 1] - self.allowed > last:
+                e = least_edits(self.item, text[first:last])
+                best = e if best is None else min(best, e)
+        return best if best is not None and best <= self.allowed else None
+
+
 class Index:
     """The windows of a block of items, for each repetition."""
 
@@ -127,18 +176,18 @@ class Index:
         owner = np.searchsorted(begin, starts, "right") - 1
         self.walks = [Walk(seed) for seed in range(repetitions)]
         self.tables = []
-        walked = np.zeros(len(self.items), bool)
+        fits = np.full(len(self.items), len(starts))
         for w in self.walks:
             h, end = w.hashes(buf, starts)
             inside = end < begin[owner] + np.array([len(t) for _, t in self.items], np.int64)[owner] if len(starts) else end > 0
-            walked[owner[inside]] = True
+            fits = np.minimum(fits, np.bincount(owner[inside], minlength=len(self.items)))
             order = np.argsort(h[inside], kind="stable")
             table = np.zeros(1 << _TABLE_BITS, bool)
             table[h[inside] >> np.uint64(64 - _TABLE_BITS)] = True
             at = (starts - begin[owner])[inside] if len(starts) else starts
             self.tables.append((table, h[inside][order], owner[inside][order], at[order]))
-        #: items whose windows all end too early for a walk
-        self.short = [k for k in range(len(self.items)) if not walked[k]]
+        plain = [t.decode() for _, t in self.items]
+        self.short = {k: Exact(t) for k, t in enumerate(plain) if len(t) < SHORT or fits[k] < FEW}
 
     def search(self, texts: list[bytes]) -> list[tuple[int, int, int]]:
         """(number of the text, item id, edits) of each leak."""
@@ -159,6 +208,8 @@ class Index:
         out, done, seen = [], set(), {}
         for doc, k, at in sorted(tries):
             item_id, item = self.items[k]
+            if k in self.short:
+                continue
             slack = int(MOST_EDITS * len(item))
             # a try within the slack of one that failed looks at nearly the same stretch; take twice the slack instead
             if (doc, k) in done or abs(at - seen.get((doc, k), -(1 << 60))) <= slack:
@@ -170,9 +221,11 @@ class Index:
             if edits <= int(MOST_EDITS * len(plain)):
                 done.add((doc, k))
                 out.append((doc, item_id, edits))
-        for k in self.short:
-            item_id, item = self.items[k]
-            out += [(i, item_id, 0) for i, t in enumerate(texts) if b" " + item + b" " in b" " + t + b" "]
+        if self.short:
+            for i, t in enumerate(texts):
+                t = bare(t.decode())
+                found = ((k, x.edits(t)) for k, x in self.short.items())
+                out += [(i, self.items[k][0], e) for k, e in found if e is not None]
         return out
 
 

@@ -333,6 +333,32 @@ def test_items_without_an_id(spark):
     assert [r.doc_id for r in cgk_decontaminate.remove_leaks(docs, bench).collect()] == [3]
 
 
+def test_short_items_are_searched_exactly():
+    rng = random.Random(14)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 9))) for _ in range(500)]
+    for n in (2, 3, 4, 5, 8):
+        items = [prose(rng, n, words) for _ in range(40)]
+        index = cgk_decontaminate.Index(list(enumerate(items)), 1)
+        edited = []
+        for t in items:
+            chars = list(t)
+            for k in rng.sample(range(len(chars)), int(0.2 * len(chars))):
+                chars[k] = rng.choice("abcdefgh ")
+            edited.append("".join(chars))
+        for copies in (items, [t + "," for t in items], [f'"{t}"' for t in items], edited):
+            texts = [cgk_decontaminate.normal(f"{prose(rng, rng.randrange(1, 9), words)} {t} end") for t in copies]
+            found = {(d, k): e for d, k, e in index.search(texts)}
+            assert all((i, i) in found for i in range(len(items)))
+            if copies is not edited:
+                assert all(found[i, i] == 0 for i in range(len(items)))
+    assert not cgk_decontaminate.Index([(1, "one")], 1).search([b"stone oneness"])
+    # against the search at every place
+    for _ in range(300):
+        item, text = prose(rng, 3, words[:5]), prose(rng, 30, words[:5])
+        want = cgk_decontaminate.least_edits(f" {item} ", f" {text} ")
+        assert cgk_decontaminate.Exact(item).edits(f" {text} ") == (want if want <= int(0.2 * len(item)) else None)
+
+
 def test_repetitions_reach_the_recall():
     rng = random.Random(6)
     items = [prose(rng, 40, [f"{a}{b}{c}" for a in "ktmr" for b in "aeiou" for c in ("n", "s", "ra", "lo")]) for _ in range(60)]
