@@ -5,15 +5,14 @@ under the pointer and moves on if a random bit of (j, character) says so. String
 small edit distance get walks at a small Hamming distance. A repetition draws one walk and
 ``SAMPLED`` of its ``STEPS`` places; the characters there make the hash of a window.
 
-Windows have the size of the item they are held against, and begin at words: at every word
-of an item and at every ``STRIDE``-th word of a document. Samples lie within the first
-``STEPS`` steps, so the walk is cut there and one walk serves the windows of all item
-sizes that begin at the same word. An item's own windows are shifted along with the
-document's, so a leak has many chances to share a hash with its item. The number of
-repetitions is chosen by measuring: items with random edits of ``EDITS`` of their length
-must be found with ``RECALL``.
-
-Each hit is followed by exact verification: the least edit distance between the item and
+Windows begin at every word of an item and of a document. Their walks are ``STEPS`` long, so
+that one walk serves items of all sizes, and so few places are sampled that a walk with edits
+in it can still share its hash. What such short walks can't tell, the item's whole window
+does: two of its places at least must share hashes with the document at nearly the same
+shift. The number of repetitions is chosen by measuring: items with edits of ``MOST_EDITS``
+of their length, at random places and evenly spread, must be found with ``RECALL``.
+
+Each candidate is followed by exact verification, after a count of shared runs of ``GRAM`` characters that no leak can fall below: the least edit distance between the item and
 any stretch of the document around the hit, by a bit-parallel search.
 
 Texts are compared in lower case (A-Z) with white space collapsed. Items go to the
@@ -40,7 +39,11 @@ from pyspark.sql.pandas.types import to_arrow_type
 MOST_EDITS = 0.2
 #: Random edits at which RECALL is measured, as a share of the item's length.
 EDITS, RECALL, MOST_REPETITIONS = 0.15, 0.95, 8
-STEPS, SAMPLED, STRIDE = 40, 20, 2
+STEPS, SAMPLED = 32, 12
+#: Characters of the runs that are counted before a verification.
+GRAM = 3
+#: Bytes by which the shifts of two places may differ.
+DRIFT = 40
 BLOCK = 20_000
 #: Items of fewer characters, or with fewer windows that hold a walk, go through the exact search.
 SHORT, FEW = 80, 8
@@ -88,6 +91,28 @@ def _word_starts(buf: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate(([True], gap[:-1])) & ~gap)
 
 
+def _grams(text: str) -> np.ndarray:
+    """Codes below 2^16 of the runs of GRAM characters; an edit changes GRAM at most. Different ones can share a code."""
+    c = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    h = np.zeros(max(0, len(c) - GRAM + 1), np.uint32)
+    for i in range(GRAM):
+        h = h * np.uint32(0x9E3779B1) + c[i : i + len(h)]
+    return h * np.uint32(0x85EBCA6B) >> np.uint32(16)
+
+
+def may_hold(grams: np.ndarray, size: int, allowed: int, region: str) -> bool:
+    """False only if no stretch of region is within the allowed edits of an item of that size and grams.
+
+    A stretch is at most size + allowed long, and keeps size - GRAM + 1 - GRAM * allowed of the item's places.
+    """
+    least = size - GRAM + 1 - GRAM * allowed
+    own = np.zeros(1 << 16, bool)
+    own[grams] = True
+    shared = np.cumsum(np.concatenate(([0], own[_grams(region)])))
+    width = min(size + allowed - GRAM + 1, len(shared) - 1)
+    return least <= 0 or bool((shared[width:] - shared[: len(shared) - width]).max() >= least)
+
+
 def least_edits(item: str, region: str) -> int:
     """Least edit distance between item and any substring of region (Myers, bit-parallel)."""
     m = len(item)
@@ -187,26 +212,32 @@ class Index:
             at = (starts - begin[owner])[inside] if len(starts) else starts
             self.tables.append((table, h[inside][order], owner[inside][order], at[order]))
         plain = [t.decode() for _, t in self.items]
+        self.grams = [_grams(t) for t in plain]
         self.short = {k: Exact(t) for k, t in enumerate(plain) if len(t) < SHORT or fits[k] < FEW}
 
     def search(self, texts: list[bytes]) -> list[tuple[int, int, int]]:
         """(number of the text, item id, edits) of each leak."""
         buf, begin = _padded(texts)
-        starts = _word_starts(buf)[::STRIDE]
-        tries: set[tuple[int, int, int]] = set()
+        starts = _word_starts(buf)
+        hits = []
         for w, (table, hs, owner, at) in zip(self.walks, self.tables):
             if not len(hs) or not len(starts):
                 continue
             h, _ = w.hashes(buf, starts)
             hit = np.flatnonzero(table[h >> np.uint64(64 - _TABLE_BITS)])
             lo, hi = np.searchsorted(hs, h[hit], "left"), np.searchsorted(hs, h[hit], "right")
-            for k in np.flatnonzero(hi > lo).tolist():
-                p = int(starts[hit[k]])
-                doc = int(np.searchsorted(begin, p, "right")) - 1
-                for q in range(lo[k], hi[k]):
-                    tries.add((doc, int(owner[q]), p - int(begin[doc]) - int(at[q])))
+            n = hi - lo
+            q = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            p = np.repeat(starts[hit], n)
+            doc = np.searchsorted(begin, p, "right") - 1
+            hits.append(np.stack([doc, owner[q], p - begin[doc] - at[q], at[q]]))
+        tries: list[tuple[int, int, int]] = []
+        if hits:
+            doc, own, shift, at = (h := np.concatenate(hits, axis=1))[:, np.lexsort(h[::-1])]
+            two = (doc[1:] == doc[:-1]) & (own[1:] == own[:-1]) & (shift[1:] - shift[:-1] <= DRIFT) & (at[1:] != at[:-1])
+            tries = list(zip(*(c[1:][two].tolist() for c in (doc, own, shift))))
         out, done, seen = [], set(), {}
-        for doc, k, at in sorted(tries):
+        for doc, k, at in tries:
             item_id, item = self.items[k]
             if k in self.short:
                 continue
@@ -216,8 +247,10 @@ class Index:
                 continue
             seen[doc, k] = at
             text = texts[doc][max(0, at - 2 * slack) : max(0, at + len(item) + 3 * slack)]
-            plain = item.decode()
-            edits = least_edits(plain, text.decode(errors="ignore"))
+            plain, text = item.decode(), text.decode(errors="ignore")
+            if not may_hold(self.grams[k], len(plain), int(MOST_EDITS * len(plain)), text):
+                continue
+            edits = least_edits(plain, text)
             if edits <= int(MOST_EDITS * len(plain)):
                 done.add((doc, k))
                 out.append((doc, item_id, edits))

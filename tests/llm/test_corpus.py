@@ -359,6 +359,22 @@ def test_short_items_are_searched_exactly():
         assert cgk_decontaminate.Exact(item).edits(f" {text} ") == (want if want <= int(0.2 * len(item)) else None)
 
 
+def test_evenly_spread_edits_are_found():
+    rng = random.Random(13)
+    words = ["".join(rng.choice("aeinorst") + rng.choice("bcdklmpv") for _ in range(rng.randrange(1, 4))) for _ in range(600)]
+    items = [prose(rng, rng.randrange(20, 60), words) for _ in range(60)]
+    index = cgk_decontaminate.Index(list(enumerate(items)), 12)
+    for every in (8, 7, 6):
+        found = 0
+        for i, t in enumerate(items):
+            chars = list(t)
+            for k in range(every // 2, len(chars), every):
+                chars[k] = "z"
+            text = cgk_decontaminate.normal(f"{prose(rng, 20, words)} {''.join(chars)} end")
+            found += any(k == i for _, k, _ in index.search([text]))
+        assert found >= 0.9 * len(items)
+
+
 def test_repetitions_reach_the_recall():
     rng = random.Random(6)
     items = [prose(rng, 40, [f"{a}{b}{c}" for a in "ktmr" for b in "aeiou" for c in ("n", "s", "ra", "lo")]) for _ in range(60)]
