@@ -382,6 +382,24 @@ def test_repetitions_reach_the_recall():
     assert cgk_decontaminate.measured_recall(items, r, seed=9) >= 0.85
 
 
+def test_recall_at_the_most_edits():
+    rng = random.Random(15)
+    words = ["".join(rng.choice("aeinorst") + rng.choice("bcdklmpv") for _ in range(rng.randrange(1, 4))) for _ in range(600)]
+    # first ids short, so that the first items don't stand for all
+    items = [prose(rng, n, words) for n in sorted(rng.randrange(10, 70) for _ in range(150))]
+    r = cgk_decontaminate.repetitions_for(items)
+    for even in (False, True):
+        assert cgk_decontaminate.measured_recall(items, r, edits=0.2, seed=9, even=even) >= 0.92
+
+
+def test_a_recall_out_of_reach_is_reported(monkeypatch):
+    monkeypatch.setattr(cgk_decontaminate, "MOST_REPETITIONS", 1)
+    monkeypatch.setattr(cgk_decontaminate, "SAMPLED", 32)
+    rng = random.Random(16)
+    with pytest.warns(UserWarning, match="repetitions find"):
+        assert cgk_decontaminate.repetitions_for([prose(rng, 60) for _ in range(20)]) == 1
+
+
 # --- 2: mixing --------------------------------------------------------------------------------
 
 
