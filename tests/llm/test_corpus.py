@@ -387,14 +387,54 @@ def test_recall_at_the_most_edits():
     words = ["".join(rng.choice("aeinorst") + rng.choice("bcdklmpv") for _ in range(rng.randrange(1, 4))) for _ in range(600)]
     # first ids short, so that the first items don't stand for all
     items = [prose(rng, n, words) for n in sorted(rng.randrange(10, 70) for _ in range(150))]
-    r = cgk_decontaminate.repetitions_for(items)
+    r, needs = cgk_decontaminate.settings_for(items)
+    for even in (False, True):
+        assert cgk_decontaminate.measured_recall(items, r, edits=0.2, seed=9, even=even, needs=needs) >= 0.92
+
+
+@pytest.mark.parametrize("size", [20, 50, 100, 400])
+def test_recall_at_the_most_edits_by_size(size):
+    rng = random.Random(size)
+    words = ["".join(rng.choice("aeinorst") + rng.choice("bcdklmpv") for _ in range(rng.randrange(1, 4))) for _ in range(600)]
+    items = [prose(rng, size, words)[:size].strip() for _ in range(60)]
+    r, needs = cgk_decontaminate.settings_for(items)
     for even in (False, True):
-        assert cgk_decontaminate.measured_recall(items, r, edits=0.2, seed=9, even=even) >= 0.92
+        assert cgk_decontaminate.measured_recall(items, r, edits=0.2, seed=9, even=even, needs=needs) >= 0.9
+
+
+def test_edits_together():
+    rng = random.Random(17)
+    pairs = []
+    for n in (5, 63, 64, 65, 130, 300):
+        for _ in range(30):
+            item = "".join(rng.choice("abcdé ") for _ in range(n))
+            at = cgk_decontaminate.edited(item, rng.random() / 2, rng, False).decode()
+            pairs.append((item, rng.choice(["", at, "zz" + at + "x" * rng.randrange(40), at[: n // 2]])))
+    assert cgk_decontaminate.edits_of(pairs).tolist() == [cgk_decontaminate.least_edits(*p) for p in pairs]
+
+
+def test_leaks_of_a_text_depend_on_it_alone(monkeypatch):
+    rng = random.Random(18)
+    words = ["".join(rng.choice("aeinorst") + rng.choice("bcdklmpv") for _ in range(rng.randrange(1, 4))) for _ in range(600)]
+    items = [prose(rng, 30, words) for _ in range(20)]
+    index = cgk_decontaminate.Index(list(enumerate(items)), 12)
+    texts = [b"%s %s" % (prose(rng, rng.randrange(30), words).encode(), cgk_decontaminate.edited(t, 0.2, rng, i % 2 == 0)) for i, t in enumerate(items * 4)]
+    alone = [(i, k, e) for i, t in enumerate(texts) for _, k, e in index.search([t])]
+    assert len(alone) >= 60 and index.search(texts) == alone
+    order = rng.sample(range(len(texts)), len(texts))
+    assert sorted((order[i - 1], k, e) for i, k, e in index.search([b"word", *(texts[i] for i in order)])) == alone
+    # a long text, in segments
+    long = prose(rng, 60_000, words).encode()
+    cuts = [0, 100_000, 131_072, 200_000, len(long)]
+    text = b" ".join(x for a, b, t in zip(cuts, cuts[1:], items) for x in (long[a:b], t.encode()))
+    monkeypatch.setattr(cgk_decontaminate, "SEGMENT", 1 << 12)
+    index = cgk_decontaminate.Index(list(enumerate(items)), 12)
+    assert [(k, e) for _, k, e in index.search([cgk_decontaminate.normal(text.decode())])] == [(i, 0) for i in range(4)]
 
 
 def test_a_recall_out_of_reach_is_reported(monkeypatch):
     monkeypatch.setattr(cgk_decontaminate, "MOST_REPETITIONS", 1)
-    monkeypatch.setattr(cgk_decontaminate, "SAMPLED", 32)
+    monkeypatch.setattr(cgk_decontaminate, "SAMPLED", cgk_decontaminate.STEPS)
     rng = random.Random(16)
     with pytest.warns(UserWarning, match="repetitions find"):
         assert cgk_decontaminate.repetitions_for([prose(rng, 60) for _ in range(20)]) == 1
