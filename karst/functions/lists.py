@@ -47,6 +47,12 @@ def without_last(items: Column) -> Column:
     return F.slice(_list(items), F.lit(1), F.greatest(length(items) - 1, F.lit(0)))
 
 
+def move_last(source: Column, target: Column) -> tuple[Column, Column]:
+    """(source, target) after the last element of source went to the front of target; an empty source changes nothing."""
+    moved = F.when(length(source) > 0, F.concat(F.array(last(source)), _list(target))).otherwise(target)
+    return without_last(source), moved
+
+
 def _from_start(i: int, n: Column) -> Column:
     return F.lit(i) if i >= 0 else n + i
 

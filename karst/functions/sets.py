@@ -54,6 +54,12 @@ def diff(first: Column, *rest: Column) -> Column:
     return reduce(F.array_except, map(_set, rest), _set(first))
 
 
+def move(source: Column, target: Column, value) -> tuple[Column, Column, Column]:
+    """(source, target, moved): value goes from one set to the other, if it is a member."""
+    hit = contains(source, value)
+    return remove(source, [value]), F.when(hit, add(target, [value])).otherwise(_set(target)), hit
+
+
 def pop(members: Column, n: int = 1) -> tuple[Column, Column]:
     """(n members, the others); the members in sorted order, so that reruns agree."""
     xs = F.array_sort(_set(members))

@@ -60,6 +60,11 @@ def distinct_values(df: DataFrame, field: str, doc: str | None = None) -> DataFr
     return df.where(v.present).select(v.key.alias("value")).distinct()
 
 
+def result(df: DataFrame, **aggregates: Column) -> DataFrame:
+    """Named aggregates in the order given, as one row."""
+    return df.agg(*[c.alias(n) for n, c in aggregates.items()])
+
+
 def first_row(df: DataFrame, seq: str, last: bool = False) -> DataFrame:
     return df.orderBy(F.col(seq).desc() if last else F.col(seq).asc()).limit(1)
 

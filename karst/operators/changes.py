@@ -45,12 +45,13 @@ def version_counts(versions: DataFrame, key: str = "key") -> DataFrame:
 
 def diff(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
     """(key, event_type, previous_value, new_value): the changes between two states, values as JSON."""
-    pack = lambda df, n: df.select(F.col(key).alias(f"k{n}"), F.to_json(F.struct(*sorted(df.columns))).alias(f"v{n}"))
+    pack = lambda df, n: df.select(F.col(key).alias(f"k{n}"), F.struct(*sorted(df.columns)).alias(f"v{n}"))
     a, b = pack(before, 0), pack(after, 1)
-    out = a.join(b, F.col("k0") == F.col("k1"), "full").where("v0 is null or v1 is null or v0 <> v1")
+    # values are compared as they are; only those that changed become JSON
+    out = a.join(b, F.col("k0") == F.col("k1"), "full").where(~F.col("v0").eqNullSafe(F.col("v1")))
     kind = F.when(F.col("v0").isNull(), INSERT).when(F.col("v1").isNull(), DELETE).otherwise(UPDATE)
     return out.select(
-        F.coalesce("k0", "k1").alias(key), kind.alias("event_type"), F.col("v0").alias("previous_value"), F.col("v1").alias("new_value")
+        F.coalesce("k0", "k1").alias(key), kind.alias("event_type"), F.to_json("v0").alias("previous_value"), F.to_json("v1").alias("new_value")
     )
 
 

@@ -82,9 +82,14 @@ class Collection:
     def _next(self, df: DataFrame) -> Collection:
         return Collection(df, self.id_col, self.doc, self.expires_at, self.now)
 
-    def upsert(self, rows: DataFrame) -> Collection:
-        """rows replace those with their ids; of rows with one id in the batch, one stays."""
-        last = rows.dropDuplicates([self.id_col])
+    def upsert(self, rows: DataFrame, order: str | None = None) -> Collection:
+        """rows replace those with their ids; of rows with one id in the batch the last by order stays (without order any one)."""
+        if order is None:
+            last = rows.dropDuplicates([self.id_col])
+        else:
+            rest = [c for c in rows.columns if c != self.id_col]
+            last = rows.groupBy(self.id_col).agg(F.max_by(F.struct(*rest), F.col(order)).alias("row_")).select(self.id_col, "row_.*")
+            last = last if order in self.raw.columns else last.drop(order)
         return self._next(self.raw.join(last, self.id_col, "left_anti").unionByName(last, allowMissingColumns=True))
 
     insert = upsert
@@ -93,6 +98,23 @@ class Collection:
         """As upsert, for ids that exist; others are ignored."""
         return self.upsert(rows.join(self.df.select(self.id_col), self.id_col, "left_semi"))
 
+    def insert_all(self, rows: DataFrame, atomic: bool = True, order: str | None = None) -> Collection:
+        """As upsert for rows with an id. With atomic, one row without an id keeps all of them out.
+
+        What is inserted is one DataFrame, so the job that writes it commits or fails as a whole.
+        """
+        good = rows.where(F.col(self.id_col).isNotNull())
+        if atomic:
+            # one row against the batch
+            bad = rows.agg((F.count_if(F.col(self.id_col).isNull()) > 0).alias("bad_"))
+            good = good.join(F.broadcast(bad), ~F.col("bad_")).drop("bad_")
+        return self.upsert(good, order)
+
+    def cleanup_expired(self) -> tuple[Collection, DataFrame]:
+        """(the collection without lapsed rows, one row with their number)."""
+        gone = F.lit(False) if self.expires_at is None else ~live(F.col(self.expires_at), self.now)
+        return self._next(self.df), self.raw.agg(F.count_if(gone).alias("removed"))
+
     def delete(self, query: Query | Mapping) -> Collection:
         """Without the rows of the query, its offset and limit included."""
         return self._next(self.raw.join(self.find(query).select(self.id_col), self.id_col, "left_anti"))

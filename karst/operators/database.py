@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .collection import Collection
@@ -33,6 +34,23 @@ class Database:
         """The collection, made empty if there is none."""
         return self._made.get(name) or self.register(name, self.spark.createDataFrame([], schema), **options)
 
+    def entities(self, name: str) -> Collection:
+        """The collection for reading; an unknown one is empty and isn't made."""
+        return self._made.get(name) or Collection(self.spark.createDataFrame([], "id string"))
+
+    def drop(self, name: str) -> bool:
+        """Forget a collection; False if there is none."""
+        if name in self._made:
+            self.spark.catalog.dropTempView(name)
+        return self._made.pop(name, None) is not None
+
+    def catalog(self) -> DataFrame:
+        """(name, documents) of the registered collections, lapsed rows left out."""
+        out = self.spark.createDataFrame([], "name string, documents bigint")
+        for name, c in sorted(self._made.items()):
+            out = out.unionAll(c.df.agg(F.count("*").alias("documents")).select(F.lit(name).alias("name"), "documents"))
+        return out
+
     def names(self) -> list[str]:
         return sorted(self._made)
 

@@ -25,6 +25,21 @@ def put(cells: DataFrame, new: DataFrame) -> DataFrame:
     )
 
 
+def with_ttl(cells: DataFrame, seconds: int, now_ms: Column) -> DataFrame:
+    """Cells as they are put with a time to live; 0 or less: none."""
+    at = now_ms + F.lit(seconds * 1000) if seconds > 0 else F.lit(None)
+    return cells.withColumn("ttl", (F.lit(seconds) if seconds > 0 else F.lit(None)).cast("int")).withColumn("expires_at", at.cast("bigint"))
+
+
+def cleanup(cells: DataFrame, now_ms: Column) -> tuple[DataFrame, DataFrame]:
+    """(the cells that haven't lapsed, one row with the numbers of cells and of whole rows removed)."""
+    ok = live(F.col("expires_at"), now_ms)
+    per_row = cells.groupBy("row_key").agg(F.count_if(~ok).alias("n"), F.count_if(ok).alias("left"))
+    return cells.where(ok), per_row.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("removed"), F.count_if(F.col("left") == 0).alias("rows_removed")
+    )
+
+
 def live_cells(cells: DataFrame, now_ms: Column) -> DataFrame:
     return cells.where(live(F.col("expires_at"), now_ms))
 

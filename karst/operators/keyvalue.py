@@ -89,6 +89,37 @@ def members(log: DataFrame, key: str = "key", member: str = "member", seq: str =
     return newest.where(~F.col("gone")).select(key, member)
 
 
+def move_member(rows: DataFrame, source: str, target: str, value, key: str = "key", member: str = "member") -> DataFrame:
+    """(key, member) after value went from the source set to the target, if it was there."""
+    hit = (F.col(key) == source) & (F.col(member) == F.lit(value))
+    return rows.select(F.when(hit, F.lit(target)).otherwise(F.col(key)).alias(key), member).distinct()
+
+
+def move_last(state: DataFrame, source: str, target: str, key: str = "key", items: str = "items") -> DataFrame:
+    """(key, items) after the last element of the source list went to the front of the target, which is made if there is none."""
+    moved = state.where((F.col(key) == source) & (F.size(items) > 0)).select(F.lit(target).alias("to_"), F.element_at(items, -1).alias("moved_"))
+    # one row at most on the right
+    both = state.join(F.broadcast(moved.select(F.lit(source).alias("from_"))), F.col(key) == F.col("from_"), "left")
+    left = F.when(F.col("from_").isNotNull(), F.slice(items, F.lit(1), F.greatest(F.size(items) - 1, F.lit(0)))).otherwise(F.col(items))
+    both = both.select(key, left.alias(items)).join(moved, F.col(key) == F.col("to_"), "full")
+    none = F.array().cast(state.schema[items].dataType)
+    return both.select(
+        F.coalesce(key, "to_").alias(key),
+        F.when(F.col("to_").isNull(), F.col(items)).otherwise(F.concat(F.array("moved_"), F.coalesce(items, none))).alias(items),
+    )
+
+
+def without(state: DataFrame, keys: Sequence[str], key: str = "key") -> DataFrame:
+    """The state once the keys are deleted; no keys given: cleared."""
+    return state.where(~F.col(key).isin(list(keys))) if keys else state.limit(0)
+
+
+def expire(state: DataFrame, key_value: str, seconds: int, now_ms: Column, key: str = "key", expires_at: str = "expires_at") -> DataFrame:
+    """The key lapses that many seconds from now."""
+    at = F.when(F.col(key) == key_value, now_ms + F.lit(seconds * 1000)).otherwise(F.col(expires_at))
+    return state.withColumn(expires_at, at.cast("bigint"))
+
+
 def set_inter(rows: DataFrame, keys: Sequence[str], key: str = "key", member: str = "member") -> DataFrame:
     """Members of all the sets; an unknown key is an empty set."""
     n = len(set(keys))

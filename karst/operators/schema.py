@@ -75,7 +75,28 @@ def migrate(df: DataFrame, steps: Sequence[Migration], current: int = 0) -> tupl
     return df, current
 
 
-def map_entity(df: DataFrame, columns: Mapping[str, str | Callable[[DataFrame], Column]]) -> DataFrame:
-    """Columns under an entity's names: a path of df, or an expression."""
+def map_entity(
+    df: DataFrame,
+    columns: Mapping[str, str | Callable[[DataFrame], Column]],
+    embedded: Mapping[str, Mapping[str, str]] | None = None,
+    discriminator: tuple[str, str] | None = None,
+) -> DataFrame:
+    """Columns under an entity's names: a path of df, or an expression.
+
+    embedded: structs of paths by name; discriminator: a column with the entity's type.
+    """
     source = source_of(df)
-    return df.select(*[(c(df) if callable(c) else source.value(c).key).alias(n) for n, c in columns.items()])
+    out = [(c(df) if callable(c) else source.value(c).key).alias(n) for n, c in columns.items()]
+    for name, fields in (embedded or {}).items():
+        out.append(F.struct(*[source.value(p).key.alias(n) for n, p in fields.items()]).alias(name))
+    if discriminator is not None:
+        out.append(F.lit(discriminator[1]).alias(discriminator[0]))
+    return df.select(*out)
+
+
+def unmap_entity(df: DataFrame, columns: Mapping[str, str], embedded: Mapping[str, Mapping[str, str]] | None = None) -> DataFrame:
+    """The stored columns of entities that map_entity made; expressions aren't taken back."""
+    out = [F.col(n).alias(c) for n, c in columns.items() if not callable(c)]
+    for name, fields in (embedded or {}).items():
+        out += [F.col(name)[n].alias(p) for n, p in fields.items()]
+    return df.select(*out)

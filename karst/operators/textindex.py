@@ -28,6 +28,16 @@ def postings(df: DataFrame, id_col: str, field: str) -> DataFrame:
     return df.select(F.posexplode(X.tokens(F.col(field))).alias("pos", "token"), F.col(id_col).alias("id")).select("token", "id", "pos")
 
 
+def add(index: DataFrame, df: DataFrame, id_col: str, field: str) -> DataFrame:
+    """The postings with those of df's documents in place of earlier ones."""
+    return remove(index, df.select(F.col(id_col).alias("id"))).unionByName(postings(df, id_col, field))
+
+
+def remove(index: DataFrame, ids: DataFrame) -> DataFrame:
+    """The postings without those of the documents ids (id)."""
+    return index.join(ids.select("id").distinct(), "id", "left_anti").select("token", "id", "pos")
+
+
 def _known(index: DataFrame, words: Sequence[str]) -> DataFrame:
     return index.where(F.col("token").isin(list(words)))
 

@@ -164,6 +164,10 @@ class Mapper:
         self.limit_ = max(0, n)
         return self
 
+    def delete_from(self, collection):
+        """The collection without the rows of the query."""
+        return collection.delete(self.query())
+
     def query(self) -> Query:
         def predicate(s) -> Column:
             out: Column | None = None

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +29,7 @@ from .plans import query as Q
 from .plans.query import Query, SortKey
 from .sources import documents as D
 from .sources import logs as LG
+from .sources.shared import shared_dir
 from .streaming import feed
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -219,10 +219,10 @@ def page_from_zero(spark, d):
     return Query().order_by("p_retailprice", "p_partkey").page(2, 30).apply(t(spark, d, "part")).select("p_partkey")
 
 
-@query("SELECT event_id, x FROM (SELECT event_id, CASE WHEN user_id % 3 > 0 THEN value END AS x FROM events) ORDER BY x ASC NULLS FIRST, event_id LIMIT 4000")
+@query("SELECT event_id, x FROM (SELECT event_id, CASE WHEN user_id % 3 > 0 THEN value END AS x FROM events) ORDER BY x ASC NULLS FIRST, event_id")
 def nulls_first_sort(spark, d):
     e = t(spark, d, "events").select("event_id", F.when(F.col("user_id") % 3 > 0, F.col("value")).alias("x"))
-    return Query().order_by("x", "event_id").window(0, 4000).apply(e)
+    return Query().order_by("x", "event_id").apply(e)
 
 
 @query("SELECT s_suppkey, s_nationkey FROM supplier ORDER BY s_nationkey DESC, lower(s_name), s_suppkey LIMIT 40")
@@ -586,7 +586,10 @@ def cf_row_map(spark, d):
 
 # --- text --------------------------------------------------------------------------------
 
-_TOKENS = r"list_filter(string_split_regex(lower(text), '[^\p{L}\p{Nd}]+'), lambda w: length(w) > 1 AND w NOT IN (" + ", ".join(f"'{w}'" for w in X.STOP_WORDS) + "))"
+_TOKENS = r"list_filter(string_split_regex(lower(text), '[^\p{L}\p{Nd}]+'), lambda w: length(w) > 1 AND w NOT IN ("
+_TOKENS += "'a', 'an', 'the', 'and', 'or', 'but', 'in', 'on', 'at', 'to', 'for', 'of', 'with', 'by', 'from', 'as', 'is', 'was', 'are', 'were', "
+_TOKENS += "'been', 'be', 'have', 'has', 'had', 'do', 'does', 'did', 'will', 'would', 'could', 'should', 'may', 'might', 'must', 'can', 'this', "
+_TOKENS += "'that', 'these', 'those'))"
 
 
 @query(
@@ -805,38 +808,35 @@ def _stream(spark: SparkSession, d: str) -> DataFrame:
     return feed.read_feed(spark, f"{d}/events.parquet*", schema)
 
 
-def _memory(df: DataFrame, mode: str) -> DataFrame:
+def _result(df: DataFrame, mode: str) -> DataFrame:
     """Run a stream to the end of its input, and its result."""
-    spark, name = df.sparkSession, f"karst_stream_{abs(hash(object())) % 10**9}"
-    df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+    return feed.run_to_files(df, mode, shared_dir(df.sparkSession, "stream"))
 
 
 @query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")
 def stream_tumbling(spark, d):
     out = feed.tumbling(_stream(spark, d), "ts", "1 day", ["event_type"], n=F.count("*"), total=F.round(F.sum("value"), 2))
-    return _memory(out, "complete").withColumn("start", F.col("start").cast("timestamp_ntz"))
+    return _result(out, "complete").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 @query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r = 1")
 def stream_latest_state(spark, d):
     out = feed.latest_state(_stream(spark, d).select("user_id", "event_id", "event_type"), "user_id", "event_id")
-    return _memory(out, "complete")
+    return _result(out, "complete")
 
 
 @query("SELECT event_id, user_id FROM events WHERE event_type = 'purchase'")
 def stream_change_feed(spark, d):
-    return _memory(Q.eq("event_type", "purchase").filter(_stream(spark, d)).select("event_id", "user_id"), "append")
+    return _result(Q.eq("event_type", "purchase").filter(_stream(spark, d)).select("event_id", "user_id"), "append")
 
 
 @query("SELECT user_id, value, event_id AS seq FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r = 1 AND event_type <> 'error'")
 def stream_materialize(spark, d):
     kind = F.when(F.col("event_type") == "error", C.DELETE).otherwise(C.UPDATE)
     changes = _stream(spark, d).select("user_id", "value", F.col("event_id").alias("seq"), kind.alias("event_type"))
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp()
-    base = f"{base}/karst-feed-{abs(hash(object()))}"
+    base = shared_dir(spark, "feed")
     feed.materialize(changes, f"{base}/state", f"{base}/log", "user_id").awaitTermination()
-    return spark.read.parquet(f"{base}/state").where("version = 0").drop("version")
+    return feed.read_materialized(spark, f"{base}/state")
 
 
 __all__ = ["ORACLE_SQL", "P", "QUERIES"]

@@ -28,6 +28,13 @@ def parse(json: Column) -> Column:
     )
 
 
+def read_or_quarantine(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(documents, corrupt lines as value): what isn't a JSON object is set aside, not lost."""
+    rows = spark.read.text(path).select("value", parse(F.col("value")).alias("d"))
+    good = rows.where("d is not null").select("d.*").withColumn("id", F.coalesce("id", F.uuid()))
+    return good, rows.where("d is null and trim(value) <> ''").select("value")
+
+
 def read_json_lines(spark: SparkSession, path: str) -> DataFrame:
     """Documents of a file with one JSON object a line; documents without an id get a UUID."""
     rows = spark.read.text(path).select(parse(F.col("value")).alias("d")).where("d is not null").select("d.*")

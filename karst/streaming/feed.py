@@ -54,6 +54,47 @@ def write_events(df: DataFrame, path: str, checkpoint: str, kind: str = "json")
     return df.writeStream.format(kind).option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path)
 
 
+def run_to_files(df: DataFrame, mode: str, base: str) -> DataFrame:
+    """Run a stream to the end of its input and read its result: all batches in append mode, the last one in complete mode.
+
+    A batch is a folder of its own, so one that runs again replaces itself.
+    """
+    spark, out = df.sparkSession, f"{base}/out"
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    query = df.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{base}/log").trigger(availableNow=True).start()
+    query.awaitTermination()
+    batches = _numbers(spark, out, "batch")
+    if not batches:
+        return spark.createDataFrame([], df.schema)
+    wanted = batches if mode == "append" else [max(batches)]
+    return spark.read.schema(df.schema).parquet(*[f"{out}/batch={n}" for n in wanted])
+
+
+def _numbers(spark: SparkSession, path: str, name: str) -> list[int]:
+    """The numbers of the folders name=0, name=1, ... in path."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(conf)
+    names = [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
+    return sorted(int(n.partition("=")[2]) for n in names if n.startswith(f"{name}="))
+
+
+def read_materialized(spark: SparkSession, path: str) -> DataFrame:
+    """The newest state that materialize wrote to path."""
+    return spark.read.parquet(f"{path}/version={max(_numbers(spark, path, 'version'))}")
+
+
+def expirations(df: DataFrame, ts: str, ttl: str, keys: list[str], late: str = "1 hour") -> DataFrame:
+    """(keys, expired_at) once a key had no write for ttl; each write renews it.
+
+    A session whose gap is the time to live ends when its last write lapses, so Spark's own state and watermark serve as timers.
+    """
+    return sessions(df, ts, ttl, keys, late, writes=F.count("*")).select(*keys, F.col("end").alias("expired_at"), "writes")
+
+
 def materialize(changes: DataFrame, path: str, checkpoint: str, key: str, seq: str = "seq", op: str = "event_type") -> StreamingQuery:
     """Keep a table of the newest state of each key in path, a version for each batch.
 
@@ -88,5 +129,6 @@ def as_changes(df: DataFrame, key: str, seq: str, collection: str) -> DataFrame:
 
 
 __all__ = [
-    "DELETE", "as_changes", "event_time", "latest_state", "materialize", "once_each", "read_feed", "sessions", "subscribe", "tumbling", "write_events",
+    "DELETE", "as_changes", "event_time", "expirations", "latest_state", "materialize", "once_each", "read_feed", "read_materialized", "run_to_files",
+    "sessions", "subscribe", "tumbling", "write_events",
 ]

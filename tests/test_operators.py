@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,10 +15,13 @@ from karst.operators import joins as J
 from karst.operators import keyvalue as K
 from karst.operators import schema as SC
 from karst.operators import textindex as TI
+from karst.operators import vectors
 from karst.operators import vectors as V
 from karst.operators.collection import Collection, stable_page
 from karst.operators.database import Database
 from karst.operators.pipeline import Pipeline
+from karst.operators.transactions import ConflictError, Transaction
+from karst.operators.vectors import VectorIndex, nearest
 from karst.plans import query as Q
 from karst.plans.query import Query
 from karst.sources import documents as D
@@ -366,3 +370,64 @@ def test_database(spark, orders):
     assert any("n_nationkey" in p for p in plan["pushed_filters"])
     with pytest.raises(KeyError):
         Database(spark).collection("nope")
+
+
+def test_transaction_conflict(spark):
+    v = spark.createDataFrame([("a", 1, 10, False), ("b", 2, 30, False)], "key string, value int, commit_ts bigint, deleted boolean")
+    tx = Transaction(v, 20).put(v.where("key = 'b'").select("key", F.lit(9).alias("value")))
+    with pytest.raises(ConflictError):
+        tx.commit(40)
+    assert tx.rollback() is v
+    tx = Transaction(v, 30).put(v.where("key = 'b'").select("key", F.lit(9).alias("value"))).delete(v.where("key = 'b'").select("key"))
+    assert [r.key for r in tx.read().collect()] == ["a"]
+    assert tx.commit(40).where("commit_ts = 40").select("key", "value", "deleted").collect() == [("b", None, True)]
+
+
+def test_vector_dimensions(spark):
+    e = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [0.0, 0.0])], "id bigint, embedding array<float>")
+    index = VectorIndex(e, 2)
+    for wrong in (lambda: index.search([1.0], 1), lambda: index.search([1.0, 0.0], 1, accuracy=0.0), lambda: index.search([1.0, 0.0], 0), lambda: VectorIndex(e, 0)):
+        with pytest.raises(ValueError):
+            wrong()
+    with pytest.raises(Exception, match="dimensions"):
+        nearest(e, [1.0, 0.0, 0.0], 1).collect()
+    with pytest.raises(Exception, match="dimensions"):
+        index.add(spark.createDataFrame([(4, [1.0])], e.schema)).df.collect()
+    assert index.stats().first().asDict() == {"size": 3, "dims": 2, "zero_vectors": 1}
+
+
+def test_batch_neighbours_with_ties(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "SCORES", 64)
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 3, (300, 3)).astype(float)
+    e = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id bigint, embedding array<float>").repartition(3)
+    q = e.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("vector"))
+    for metric in ("cosine", "euclidean"):
+        got = {}
+        for r in sorted(vectors.nearest_batch(e, q, 4, metric=metric).collect(), key=lambda r: (r.query_id, -r.score if metric == "cosine" else r.score, r.id)):
+            got.setdefault(r.query_id, []).append((round(r.score, 4), r.id))
+        for i in range(0, 300, 20):
+            if metric == "cosine":
+                n = np.linalg.norm(x, axis=1)
+                s = [(-round(float(x[i] @ y / (n[i] * m)), 4), k) for k, (y, m) in enumerate(zip(x, n)) if m > 0] if n[i] else [(0.0, k) for k in range(300) if n[k] > 0]
+                want = [(-a, k) for a, k in sorted(s)[:4]]
+            else:
+                want = sorted((round(float(np.linalg.norm(x[i] - y)), 4), k) for k, y in enumerate(x))[:4]
+            assert [a for a, _ in got[i]] == pytest.approx([a for a, _ in want], abs=1e-3)
+
+
+def test_materialized_state_of_several_batches(spark, tmp_path):
+    schema = "key string, value int, seq bigint, event_type string"
+    for n, rows in enumerate(([("a", 1, 1, "INSERT"), ("b", 2, 2, "INSERT")], [("a", 5, 3, "UPDATE"), ("b", None, 4, "DELETE"), ("c", 7, 5, "INSERT")])):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        changes = feed.read_feed(spark, str(tmp_path / "in"), spark.read.parquet(str(tmp_path / "in")).schema, files_per_trigger=1)
+        feed.materialize(changes, str(tmp_path / "state"), str(tmp_path / "log"), "key").awaitTermination()
+    got = {(r.key, r.value) for r in feed.read_materialized(spark, str(tmp_path / "state")).collect()}
+    assert got == {("a", 5), ("c", 7)}
+
+
+def test_unknown_entities_and_drop(spark):
+    db = Database(spark)
+    assert db.entities("none").find().count() == 0 and db.names() == [] and not db.drop("none")
+    db.register("some_entities", spark.range(3), id_col="id")
+    assert db.entities("some_entities").find_one({"id": 2}).first().id == 2 and db.drop("some_entities") and db.names() == []
