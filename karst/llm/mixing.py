@@ -14,7 +14,7 @@ numbers are hashes of the row and the level, so reruns agree.
 
 Edge cases: null text has size 0; documents of size 0 are never copied (taken 0); a
 null source is a source of its own, after all others; a null doc_id takes part like
-any other value; equal rows are separate documents; an empty table gives an empty
+any other value; equal rows are separate documents, told apart by a running number; an empty table gives an empty
 result; further columns can be carried with ``carry``.
 """
 
@@ -80,11 +80,11 @@ def source_targets(sizes: DataFrame, scratch: Scratch, weights: tuple[float, ...
     return ranked.select("source", "source_size", "n_docs", target.alias("target"))
 
 
-def pivotal_round(fractions: DataFrame, carried: list[str], scratch: Scratch, fan_in: int = 32) -> DataFrame:
+def pivotal_round(fractions: DataFrame, carried: list[str], scratch: Scratch, fan_in: int = 32, most: int | None = None) -> DataFrame:
     """Round the column p (0 < p < 1) of each row to 0.0 or 1.0, within each source.
 
     fractions: source, hkey (long), size (long > 0), p, leaves (nodes of the source's
-    lowest level), and the carried columns. ``sum(p * size)`` of a source changes by
+    lowest level), and the carried columns; most: the largest leaves, if known. ``sum(p * size)`` of a source changes by
     less than the size of one row.
     """
     payload = [*carried]
@@ -94,7 +94,8 @@ def pivotal_round(fractions: DataFrame, carried: list[str], scratch: Scratch, fa
         F.pmod(F.col("hkey"), F.col("leaves")).alias("node"),
         F.struct("size", "hkey", "p", *payload).alias("x"),
     )
-    most = rows.agg(F.max("leaves")).first()[0]
+    if most is None:
+        most = rows.agg(F.max("leaves")).first()[0]
     done, level = [], 0
     kind = rows.schema["x"].dataType.simpleString()
     while most is not None:
@@ -180,6 +181,27 @@ def _fields(kind: str) -> list[str]:
     return names
 
 
+def _told_apart(sized: DataFrame, scratch: Scratch) -> DataFrame:
+    """Adds salt: 0, 1, ... for rows that share source, doc_id and size, so that no leaf holds them all.
+
+    Such rows are alike to the rounding, so it doesn't matter which gets which number, and other file layouts lead to
+    the same numbers. A group is numbered in as many pieces as there are partitions.
+    """
+    part = sized.withColumn("part", F.spark_partition_id())
+    group = F.xxhash64(F.col("source").isNull(), "source", F.col("doc_id").isNull(), "doc_id", "size")
+    several = scratch.keep(sized.groupBy(group.alias("group")).count().where("count > 1").select("group"))
+    part = part.withColumn("group", group)
+    many = scratch.keep(part.join(several, "group", "left_semi"))
+    counts = many.groupBy("group", "part").agg(F.count("*").alias("n"))
+    # a row for each partition of a group
+    before = F.sum("n").over(Window.partitionBy("group").orderBy("part")) - F.col("n")
+    offsets = counts.select(F.col("group").alias("g_"), F.col("part").alias("p_"), before.alias("offset"))
+    place = F.row_number().over(Window.partitionBy("group", "part").orderBy("size")) - 1
+    many = many.withColumn("place", place).join(offsets, (F.col("group") == F.col("g_")) & (F.col("part") == F.col("p_")))
+    one = part.join(several, "group", "left_anti").withColumn("salt", F.lit(0).cast("long"))
+    return one.select(*sized.columns, "salt").unionAll(many.select(*sized.columns, (F.col("offset") + F.col("place")).alias("salt")))
+
+
 def mix(
     docs: DataFrame,
     weights: tuple[float, ...] = WEIGHTS,
@@ -191,17 +213,16 @@ def mix(
 
     taken = copies * size; copies is floor or ceil of target / source_size, at most cap.
     """
-    clash = {"size", "hkey", "p", "leaves", "node", "copies", "taken", "target", "source_size", "n_docs"} & set(carry)
+    clash = {"size", "hkey", "p", "leaves", "node", "salt", "group", "part", "copies", "taken", "target", "source_size", "n_docs"} & set(carry)
     if clash:
         raise ValueError(f"carried columns clash with the result's: {sorted(clash)}")
     carried = ["doc_id", *carry]
     scratch = Scratch(docs.sparkSession, "mix")
     sized = scratch.keep(docs.select("source", word_count().alias("size"), *carried))
     targets = source_targets(sized.select("source", "size"), scratch, weights, cap)
-    # rows without an id are told apart by their place in the written table, else one leaf would hold them all
-    salt = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).otherwise(F.lit(0))
+    sized = _told_apart(sized, scratch)
     same = sized["source"].eqNullSafe(targets["source"])
-    rows = sized.withColumn("salt", salt).join(targets.drop("n_docs"), same).drop(targets["source"])
+    rows = sized.join(targets.drop("n_docs"), same).drop(targets["source"])
     leaves = targets.select("source", F.greatest(F.lit(1), F.ceil(F.col("n_docs") / fan_in)).cast("long").alias("leaves"))
     x = F.col("target") / F.col("source_size")
     rate = F.when(F.col("source_size") > 0, x).otherwise(F.lit(0.0))
@@ -215,7 +236,8 @@ def mix(
     plain = rows.where("p = 0").select("source", "size", F.lit(0.0).alias("p"), *keep)
     part = rows.withColumn("hkey", F.xxhash64("doc_id", "size", "salt")).where("p > 0").drop("salt")
     part = part.join(leaves.withColumnRenamed("source", "s_"), part["source"].eqNullSafe(F.col("s_"))).drop("s_")
-    rounded = pivotal_round(part, keep, scratch, fan_in).select("source", "size", "p", *keep)
+    widest = targets.agg(F.max("n_docs")).first()[0]
+    rounded = pivotal_round(part, keep, scratch, fan_in, widest and max(1, -(-widest // fan_in))).select("source", "size", "p", *keep)
     copies = F.when(F.col("size") == 0, F.lit(0)).otherwise(F.col("whole") + F.col("p")).cast("long")
     return (
         plain.unionAll(rounded)

@@ -492,6 +492,18 @@ def test_mixing_keeps_expectations(spark):
         assert r.rate == pytest.approx(r[2] / r[3], abs=0.05)
 
 
+def test_mixing_many_equal_rows(spark):
+    rows = [(1, "a b c", "x", "a")] * 30_000 + [(None, "d e", "x", "b")] * 5_000 + [(i, "w " * (i % 7), "x", "abc"[i % 3]) for i in range(900)]
+    schema = "doc_id bigint, text string, lang string, source string"
+    got = []
+    for n, order in ((3, "doc_id"), (7, "text")):
+        out = mixing.mix(spark.createDataFrame(rows, schema).repartition(n, order, F.rand(n))).cache()
+        got.append(sorted(map(tuple, out.select("doc_id", "size", "taken", "source").collect()), key=repr))
+        sums = out.groupBy("source").agg(F.sum("taken").alias("t"), F.max("target").alias("g"), F.max("size").alias("m")).collect()
+        assert all(abs(r.t - r.g) <= r.m for r in sums)
+    assert got[0] == got[1] and len(got[0]) == len(rows)
+
+
 def test_mixing_edges(spark, edge, no_docs):
     out = mixing.mix(edge, carry=("lang",)).collect()
     assert len(out) == len(EDGE) and {r.lang for r in out} == {"en"}
