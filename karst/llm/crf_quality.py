@@ -3,22 +3,29 @@
 Each line is labelled good or bad. Its features are binned measures of the line itself
 (letter case, symbols, punctuation, repetition, word lengths, earlier equal lines) and of
 the lines before and after it; the chain adds a weight for each pair of neighbouring
-labels. The score of a document is the mean of its lines' marginal probabilities of
-"good", from forward-backward, weighted by line length.
+labels. A document's quality is the mean of its lines' marginal probabilities of
+"good", from forward-backward, weighted by line length; its score is that mean on a logistic scale,
+fitted to the documents' labels.
 
-The field is fitted by L-BFGS on the driver, on a sample of fixed size: at most
-``SAMPLE`` labelled documents of each class and ``TRAIN_LINES`` lines of each (longer
-documents aren't sampled). Every line of a document has the document's label there.
-Scoring reads whole texts.
+Only documents have labels, so those of lines are weak: a regression on single lines starts from
+the document's label, and lines that clearly look like the other kind are relabelled, as long as
+they are no more than half of their document. The field is fitted to these by L-BFGS; ``PAIR_SHRINK`` keeps
+the pair weights from growing with the sample where labels hardly ever change, so that a few bad lines can be told in a good text.
+
+Both are fitted on the driver, on a sample of fixed size: at most ``SAMPLE`` labelled documents of each
+class and ``TRAIN_LINES`` lines of each, of a longer document a run of lines from a place that its id
+gives. Scoring reads whole texts; ``label_lines`` gives the lines' labels.
 
 Edge cases: null and empty texts are one empty line and get the score of such a line;
-null or unknown labels aren't trained on; without labels of both classes every score is
+null or unknown labels aren't trained on; where rows of one doc_id differ, the least text is;
+held_out is null for a null doc_id; without labels of both classes every score is
 0.5; equal rows get equal scores; other columns are not read; an empty table gives an
 empty result.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,11 +34,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_sample, fold_of, labelled
-from .numeric import minimize
+from .numeric import fit_logistic, minimize, sigmoid
 
 #: Bounds of the sample that the field is fitted on.
 SAMPLE = {0: 1500, 1: 1500}
 TRAIN_LINES = 400
+#: Shrinkage of the pair weights for each pair; certainty from which a line is relabelled, and rounds of that.
+PAIR_SHRINK, SURE, ROUNDS = 0.02, 0.85, 2
 #: Characters that are looked at together; a longer text is a batch of its own.
 CHUNK = 2 << 20
 THRESHOLD = 0.3
@@ -157,15 +166,42 @@ def forward_backward(emission: np.ndarray, counts: np.ndarray, pairs: np.ndarray
     return log_z, good, pair
 
 
+def line_labels_of(features: np.ndarray, chars: np.ndarray, counts: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """A weak label for each line, from the documents' labels and the line's own measures (not its neighbours')."""
+    features = features[:, : len(MEASURES)]
+    own, doc = np.repeat(labels, counts), np.repeat(np.arange(len(counts)), counts)
+    weight, n, out = np.repeat(1.0 / counts, counts), N_FEATURES, own.copy()
+    size = np.maximum(chars, 1)
+    half = np.bincount(doc, size)[doc] / 2
+    for _ in range(ROUNDS):
+
+        def loss(w, y=out):
+            z = w[features].sum(1) + w[n]
+            miss = weight * (sigmoid(z) - y)
+            grad = np.append(np.bincount(features.ravel(), np.repeat(miss, features.shape[1]), n) + 0.1 * w[:n], miss.sum())
+            return float((weight * (np.logaddexp(0, z) - y * z)).sum() + 0.05 * (w[:n] ** 2).sum()), grad
+
+        w = minimize(loss, np.zeros(n + 1), 40)
+        p = sigmoid(w[features].sum(1) + w[n])
+        other = np.where(own == 1, 1 - p, p)
+        # the surest first, while they are less than half of the document
+        order = np.lexsort((-other, doc))
+        before = np.cumsum(size[order]) - np.repeat(np.cumsum(np.bincount(doc, size)) - np.bincount(doc, size), counts)
+        turned = np.zeros(len(own), bool)
+        turned[order] = (other[order] >= SURE) & (before < half[order])
+        out = np.where(turned, 1 - own, own)
+    return out
+
+
 def fit(features: np.ndarray, counts: np.ndarray, labels: np.ndarray, l2: float = 1.0) -> np.ndarray:
-    """Weights: one for each feature, a bias, then the 2 x 2 pair weights."""
-    line_labels = np.repeat(labels, counts).astype(float)
+    """Weights: one for each feature, a bias, then the 2 x 2 pair weights. labels: of each line, or of each document."""
+    line_labels = (labels if len(labels) == counts.sum() else np.repeat(labels, counts)).astype(float)
     n = N_FEATURES
     first = np.zeros(len(line_labels), bool)
     first[np.cumsum(counts) - counts] = True
     seen = np.zeros((2, 2))
-    same = line_labels[~first]
-    seen[0, 0], seen[1, 1] = (same == 0).sum(), (same == 1).sum()
+    j = np.flatnonzero(~first)
+    np.add.at(seen, (line_labels[j - 1].astype(int), line_labels[j].astype(int)), 1)
 
     def loss(w):
         emission = w[features].sum(1) + w[n]
@@ -177,7 +213,7 @@ def fit(features: np.ndarray, counts: np.ndarray, labels: np.ndarray, l2: float
         grad[n] = miss.sum()
         grad[n + 1 :] = (pair - seen).ravel()
         shrink = np.full(len(w), l2)
-        shrink[n] = 0
+        shrink[n], shrink[n + 1 :] = 0, l2 + PAIR_SHRINK * len(j)
         return log_z.sum() - score + 0.5 * (shrink * w**2).sum(), grad + shrink * w
 
     return minimize(loss, np.zeros(n + 5), 60)
@@ -189,38 +225,55 @@ def document_scores(texts: list[str], weights: np.ndarray | None) -> np.ndarray:
         return np.full(len(texts), 0.5)
     features, chars, counts = line_features(texts)
     emission = weights[features].sum(1) + weights[N_FEATURES]
-    _, good, _ = forward_backward(emission, counts, weights[N_FEATURES + 1 :].reshape(2, 2))
+    _, good, _ = forward_backward(emission, counts, weights[N_FEATURES + 1 : N_FEATURES + 5].reshape(2, 2))
+    return _scaled(_means(good, chars, counts), weights)
+
+
+def _means(good: np.ndarray, chars: np.ndarray, counts: np.ndarray) -> np.ndarray:
     begin, w = np.cumsum(counts) - counts, np.maximum(chars, 1)
     return np.clip(np.add.reduceat(good * w, begin) / np.add.reduceat(w, begin), 0, 1)
 
 
+def _scaled(means: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The means on the logistic scale that follows the pair weights, if there is one."""
+    return means if len(weights) == N_FEATURES + 5 else sigmoid(weights[-2] * means + weights[-1])
+
+
 def train(docs: DataFrame, labels: DataFrame, target: str = "quality") -> np.ndarray | None:
     """Weights from labelled documents; rows of labels are given as (doc_id, target)."""
     chosen = bounded_sample(labelled(labels, target), SAMPLE)
-    texts = docs.select("doc_id", "text").where(F.size(F.split("text", "\n")) <= TRAIN_LINES)
+    texts = docs.select("doc_id", "text").where("text is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for t, label in zip(b.column(0), b.column(1)):
-                features, _, _ = line_features([t.as_py()])
+            for key, t, label in zip(*b.columns):
+                features, chars, _ = line_features([t.as_py()])
+                a = zlib.crc32(str(key.as_py()).encode()) % (len(features) - TRAIN_LINES) if len(features) > TRAIN_LINES else 0
+                features, chars = features[a : a + TRAIN_LINES], chars[a : a + TRAIN_LINES]
                 yield pa.RecordBatch.from_pydict(
                     {"label": pa.array([label.as_py()], pa.int32()), "n": pa.array([len(features)], pa.int32()),
-                     "features": pa.array([features.astype(np.int16).tobytes()], pa.binary())}
+                     "features": pa.array([features.astype(np.int16).tobytes()], pa.binary()),
+                     "chars": pa.array([chars.astype(np.int64).tobytes()], pa.binary())}
                 )
 
     # the sample's rows are at most sum(SAMPLE), so the broadcast has a bound
     rows = (
         texts.join(F.broadcast(chosen), "doc_id")
-        .dropDuplicates(["doc_id"])
-        .select("text", "label")
-        .mapInArrow(run, "label int, n int, features binary")
+        .groupBy("doc_id")
+        .agg(F.min("text").alias("text"), F.max("label").alias("label"))
+        .mapInArrow(run, "label int, n int, features binary, chars binary")
         .collect()
     )
     if len({r.label for r in rows}) < 2:
         return None
-    rows.sort(key=lambda r: (r.label, r.n, bytes(r.features)))
+    rows.sort(key=lambda r: (r.label, r.n, bytes(r.features), bytes(r.chars)))
     features = np.concatenate([np.frombuffer(r.features, np.int16).reshape(r.n, -1) for r in rows]).astype(np.int64)
-    return fit(features, np.array([r.n for r in rows]), np.array([r.label for r in rows]))
+    chars = np.concatenate([np.frombuffer(r.chars, np.int64) for r in rows])
+    counts, known = np.array([r.n for r in rows]), np.array([r.label for r in rows])
+    weights = fit(features, counts, line_labels_of(features, chars, counts, known))
+    _, good, _ = forward_backward(weights[features].sum(1) + weights[N_FEATURES], counts, weights[N_FEATURES + 1 :].reshape(2, 2))
+    scale = fit_logistic(_means(good, chars, counts)[:, None], known, l2=0.05)
+    return np.append(weights, [max(scale[0], 1e-3), scale[1]])
 
 
 def _batch_scores(texts: pa.Array, weights: np.ndarray | None) -> np.ndarray:
@@ -247,6 +300,26 @@ def score(docs: DataFrame, weights: np.ndarray | None) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
 
 
+def label_lines(docs: DataFrame, weights: np.ndarray | None) -> DataFrame:
+    """(doc_id, line, probability, good): every line, numbered from 0, with its marginal probability and its label."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for key, t in zip(b.column(0), b.column(1)):
+                features, _, counts = line_features([t.as_py() or ""])
+                good = np.full(len(features), 0.5)
+                if weights is not None:
+                    emission = weights[features].sum(1) + weights[N_FEATURES]
+                    _, good, _ = forward_backward(emission, counts, weights[N_FEATURES + 1 : N_FEATURES + 5].reshape(2, 2))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([key.as_py()] * len(good), b.schema.field(0).type), pa.array(np.arange(len(good))), pa.array(good), pa.array(good >= 0.5)],
+                    ["doc_id", "line", "probability", "good"],
+                )
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, line bigint, probability double, good boolean")
+
+
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs, all columns, whose score reaches the threshold; trained as in classify."""
     weights = train(docs, labels.where(fold_of("doc_id", 5) != 0))

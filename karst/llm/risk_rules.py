@@ -2,16 +2,19 @@
 
 Base rules are fixed: fewer than ``LEAST_WORDS`` words, or more than half of the words in
 repeated 3-word windows, fail a document. Further measures get their cutoffs from
-labelled documents. For each measure and stratum (a class of text length) the cutoffs of
-a fixed grid are tried from the mildest on; a cutoff holds if the exact binomial
-(Clopper-Pearson) upper bound of the share of good documents it rejects stays within the
-measure's part of ``ALPHA``. Trying stops at the first that doesn't (fixed-sequence
-testing, so the grid costs no confidence); of those that hold, the mildest that rejects
-as many bad documents is taken. The confidence is Bonferroni-corrected for the number of
-measures and strata. So with probability of at least ``1 - DELTA`` no stratum
-loses more than ALPHA of its good documents to these rules.
-
-The counts are over all labelled documents; only the grid's counts, of fixed size, reach
+labelled documents, apart for each stratum (a class of text length). One half of these, by a
+hash of their ids, proposes: for each of ``LEVELS``, each measure's strictest cutoff of its grid
+that rejects no larger share of the good ones, or the mildest that rejects as many bad ones.
+The levels are nested, from mild to strict. The other half, the holdout, tests them in that
+order: a level holds if the exact binomial (Clopper-Pearson) upper bound of the share of good
+documents that any of its cutoffs rejects stays within ``ALPHA``. Testing stops at the first that
+doesn't (fixed-sequence testing, so the levels cost no confidence); of those that hold, the mildest
+that rejects as many bad documents is taken. The confidence is Bonferroni-corrected for the number
+of strata. So with probability of at least ``1 - DELTA`` no stratum loses more than ALPHA of its
+good documents to these rules. Where nothing holds (about 80 good documents in the holdout are the
+least) there are no cutoffs; ``level`` says so for each row, as null.
+
+The counts are over all labelled documents; only counts by step and level, of fixed size, reach
 the driver.
 
 Edge cases: null and empty texts have no words and fail; null or unknown labels aren't
@@ -36,6 +39,8 @@ LEAST_WORDS = 50
 ALPHA, DELTA = 0.05, 0.05
 #: Upper bounds of the strata, in words.
 STRATA = (200, 1000)
+#: Shares of good documents that a measure's cutoff may reject in the proposing half, from mild to strict.
+LEVELS = (0.0, 0.002, 0.004, 0.006, 0.01, 0.015, 0.02, 0.03)
 #: Grid of cutoffs, mildest first. A measure above ("over") or below ("under") one is rejected.
 GRIDS = {
     "symbols_over": tuple(round(1.0 - 0.02 * i, 4) for i in range(50)),
@@ -156,47 +161,73 @@ def choose(good: list[int], alpha: float, delta: float) -> int:
     return held
 
 
-def cutoffs(counts: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA, target: str = "quality") -> dict:
-    """{(stratum, measure): cutoff} from the counts of documents and (doc_id, target)."""
+def _beyond(name: str, value: Column, cut: Column) -> Column:
+    return value > cut if name.endswith("over") else value < cut
+
+
+def _step(name: str, cuts: Column) -> Column:
+    """The first of cuts, from mild to strict, that rejects the value; their number if none does."""
+    value = _values()[name]
+    return F.size(F.filter(cuts, lambda c: ~_beyond(name, value, c)))
+
+
+def _proposed(rows: list, grid: tuple[float, ...], name: str) -> list[float]:
+    """A cutoff for each of LEVELS from (label, step, count); an infinite one rejects nothing."""
+    none = math.inf if name.endswith("over") else -math.inf
+    table = {0: Counter(), 1: Counter()}
+    for label, step, n in rows:
+        table[label][step] += n
+    bad, good = (np.cumsum([table[k][i] for i in range(len(grid))]) for k in (0, 1))
+    n_good, out = sum(table[1].values()), []
+    for share in LEVELS:
+        fit = np.flatnonzero(good <= share * n_good)
+        most = int(bad[fit[-1]]) if len(fit) and n_good else 0
+        out.append(grid[int(np.searchsorted(bad, most))] if most else none)
+    return out
+
+
+def cutoffs(counts: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA, target: str = "quality") -> dict[int, tuple[int, dict[str, float]]]:
+    """{stratum: (level that holds, {measure: cutoff})} from the counts of documents and (doc_id, target)."""
+    scratch = Scratch(counts.sparkSession, "cutoffs")
     known = counts.join(labelled(labels, target), "doc_id").where(~base_failed() & F.col("label").isin(0, 1))
-    steps = []
-    for name, value in _values().items():
-        # the first cutoff of the grid that rejects the value; the grid's length if none
-        beyond = [value > c if name.endswith("over") else value < c for c in GRIDS[name]]
-        first = F.lit(len(beyond))
-        for i, b in reversed(list(enumerate(beyond))):
-            first = F.when(b, i).otherwise(first)
-        steps.append(F.struct(F.lit(name).alias("name"), first.alias("step")))
-    rows = (
-        known.select("label", _stratum().alias("stratum"), F.explode(F.array(*steps)).alias("s"))
-        .groupBy("label", "stratum", "s.name", "s.step")
-        .count()
-        .collect()
-    )
-    table: dict[tuple[int, str], tuple[Counter, Counter]] = {}
-    for r in rows:
-        table.setdefault((r.stratum, r.name), (Counter(), Counter()))[r.label][r.step] += r["count"]
-    tests = len(GRIDS) * (len(STRATA) + 1)
+    # a fold of its own: not the remainder that other operators hold out by
+    held_out = F.pmod(F.xxhash64("doc_id", F.lit("holdout")), F.lit(2)) == 1
+    known = scratch.keep(known.select("*", _stratum().alias("stratum"), held_out.alias("held_out")))
+    steps = [F.struct(F.lit(n).alias("name"), _step(n, F.array(*map(F.lit, g))).alias("step")) for n, g in GRIDS.items()]
+    found: dict[tuple[int, str], list] = {}
+    for r in known.where("not held_out").select("label", "stratum", F.inline(F.array(*steps))).groupBy("label", "stratum", "name", "step").count().collect():
+        found.setdefault((r.stratum, r.name), []).append((r.label, r.step, r["count"]))
+    strata = sorted({k for k, _ in found})
+    paths = {k: {n: _proposed(found[k, n], GRIDS[n], n) for n in GRIDS} for k in strata}
+    # the first level at which any measure rejects a document of the holdout
+    level = F.lit(len(LEVELS))
+    for k in strata:
+        each = [_step(n, F.array(*map(F.lit, cuts))) for n, cuts in paths[k].items()]
+        level = F.when(F.col("stratum") == k, F.least(*each)).otherwise(level)
+    table: dict[int, tuple[Counter, Counter]] = {k: (Counter(), Counter()) for k in strata}
+    for r in known.where(F.col("held_out") & F.col("stratum").isin(strata)).select("label", "stratum", level.alias("level")).groupBy("label", "stratum", "level").count().collect():
+        table[r.stratum][r.label][r.level] += r["count"]
+    scratch.drop_all_but()
     out = {}
-    for (stratum, name), (bad, good) in sorted(table.items()):
-        grid = GRIDS[name]
-        bad_rejected, rejected = (np.cumsum([c[i] for i in range(len(grid))]).tolist() for c in (bad, good))
-        held = choose([*rejected, sum(good.values())], alpha / len(GRIDS), delta / tests)
-        if held and bad_rejected[held - 1]:
-            # a milder one that rejects as many bad documents spares good ones; it has been tried before, so it holds too
-            out[stratum, name] = grid[bad_rejected.index(bad_rejected[held - 1])]
+    for k, (bad, good) in table.items():
+        bad_rejected, rejected = (np.cumsum([c[i] for i in range(len(LEVELS))]).tolist() for c in (bad, good))
+        held = choose([*rejected, sum(good.values())], alpha, delta / (len(STRATA) + 1))
+        if held:
+            # a milder level that rejects as many bad documents spares good ones; it has been tested before, so it holds too
+            i = bad_rejected.index(bad_rejected[held - 1])
+            out[k] = (i, {n: cuts[i] for n, cuts in paths[k].items() if math.isfinite(cuts[i])})
     return out
 
 
 def apply_rules(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """doc_id, the base counts, base_failed, kept and the stratum of every row."""
+    """doc_id, the base counts, base_failed, kept, the stratum and its level of every row (null: no cutoffs hold there)."""
     counts = Scratch(docs.sparkSession, "rules").keep(measures(docs))
-    rejected = F.lit(False)
-    for (stratum, name), cut in cutoffs(counts, labels, alpha, delta).items():
-        value = _values()[name]
-        beyond = value > cut if name.endswith("over") else value < cut
-        rejected = rejected | ((_stratum() == stratum) & beyond)
+    rejected, level = F.lit(False), F.lit(None).cast("int")
+    for stratum, (i, cuts) in cutoffs(counts, labels, alpha, delta).items():
+        level = F.when(_stratum() == stratum, i).otherwise(level)
+        for name, cut in cuts.items():
+            rejected = rejected | ((_stratum() == stratum) & _beyond(name, _values()[name], F.lit(cut)))
     return counts.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        base_failed().alias("base_failed"), (~base_failed() & ~rejected).alias("kept"), _stratum().alias("stratum"),
+        base_failed().alias("base_failed"), (~base_failed() & ~rejected).alias("kept"), _stratum().alias("stratum"), level.alias("level"),
     )

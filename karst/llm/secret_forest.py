@@ -278,9 +278,11 @@ def candidates(docs: DataFrame) -> DataFrame:
         near(i).rlike(ASSIGNS) | near(i).rlike(BEGINS_ASSIGNING) | near(i - 1).rlike(f"{_SIGN}$")
     )
     at = F.filter(F.sequence(F.lit(0), F.size("ws") - 1), lambda i: any_(F.get("ws", i)) | assigned(i))
-    found = words.select("doc_id", "ws", F.explode(at).alias("word"))
-    w = F.col("word")
-    found = found.select("doc_id", "word", F.inline(F.array(F.struct(near(w).alias("raw"), near(w - 1).alias("p1"), near(w - 2).alias("p2"), near(w + 1).alias("nx")))))
+    # only the words around a candidate leave the array, which no row carries along
+    around = F.transform(
+        at, lambda i: F.struct(i.alias("word"), near(i).alias("raw"), near(i - 1).alias("p1"), near(i - 2).alias("p2"), near(i + 1).alias("nx"))
+    )
+    found = words.select("doc_id", F.inline(around))
     return found.select("*", F.explode(_found()).alias("cand"))
 
 

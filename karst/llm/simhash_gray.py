@@ -6,12 +6,13 @@ bits; documents of one connected component are one group.
 
 Index. The 64 bits are cut into ``distance + 2`` blocks; at most ``distance`` of them can
 hold a difference, so linked fingerprints agree on two blocks at least. Each pair of
-blocks makes a table, its value a group. Fingerprints of a group are sorted by Gray rank
-(neighbours in that order differ in few bits) and cut into nodes of ``NODE`` rows at
-most; of each node the bits that all members share are factored out as mask and pattern.
-Two nodes meet only if their patterns differ in no more than ``distance`` of the bits that
-both share; inside, leaves of ``LEAF`` rows prune in the same way before members are
-compared. A meeting of two nodes is one bounded piece of work that yields a spanning
+blocks makes a table, the uppermost pattern of the index, its value a group. Fingerprints of a
+group are sorted by Gray rank (neighbours in that order differ in few bits) and cut into nodes of
+``NODE`` rows at most; of each node the bits that all members share are factored out as mask and
+pattern, and so for the groups of ``LEVELS`` rows below it. Two nodes meet only if their patterns
+differ in no more than ``distance`` of the bits that both share; from there down the tree each pair of groups
+adds the differences in the bits that it shares beyond those above, and is pruned whole once they are more than
+``distance``; members of leaves add what is left. A meeting of two nodes is one bounded piece of work that yields a spanning
 forest of the links, not the links. So a group of any size is split over tasks, no link
 is lost, and no pairs of a group are listed.
 
@@ -42,8 +43,8 @@ from .common import Scratch, fresh
 SHINGLE = 3
 SEED = 42
 DISTANCE = 3
-#: Rows of a node and of a leaf.
-NODE, LEAF = 2048, 64
+#: Rows of a node, and of the groups of the levels below it; the last are leaves. Pairs of leaves compared at once.
+NODE, LEVELS, PAIRS = 2048, (512, 128, 32), 1024
 #: What one_alike calls alike: Jaccard similarity of sets of so many words.
 ALIKE, WORDS = 0.8, 5
 #: Its index: differing bits of 128, tables, and bits of a table's key.
@@ -167,28 +168,62 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch()
 
 
-def _leaves(fps: np.ndarray) -> list[tuple[np.ndarray, np.uint64, np.uint64]]:
+def _levels(x: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(masks, patterns) of the groups of LEVELS rows each, coarse to fine: the bits that a group's members share."""
     out = []
-    for i in range(0, len(fps), LEAF):
-        x = fps[i : i + LEAF]
-        mask = ~np.bitwise_or.reduce(x[:, 0] ^ x[0, 0])
-        out.append((x[:, : max(1, x.shape[1] - 1)], mask, x[0, 0] & mask))
+    for size in LEVELS:
+        starts = np.arange(0, len(x), size)
+        first = x[starts]
+        mask = ~np.bitwise_or.reduceat(x ^ np.repeat(first, size)[: len(x)], starts)
+        out.append((mask, first & mask))
     return out
 
 
+def leaf_pairs(x: np.ndarray, y: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+    """(leaf of x, leaf of y, bits they share, differences in those, pairs of groups pruned above the leaves).
+
+    From the coarsest level down, a pair of groups has the differences of the pair above and, added to them, those in the
+    bits that only the finer groups share; beyond distance all below goes at once.
+    """
+    above, pruned = None, 0
+    for size, (xm, xp), (ym, yp) in zip(LEVELS, _levels(x), _levels(y)):
+        if above is None:
+            i, j = (k.ravel() for k in np.indices((len(xm), len(ym))))
+            seen, count = np.zeros(len(i), np.uint64), np.zeros(len(i), np.int64)
+        else:
+            step = above // size
+            i, j, seen, count = (np.repeat(k, step * step) for k in (i, j, seen, count))
+            child = np.tile(np.arange(step * step), len(i) // (step * step))
+            i, j = i * step + child // step, j * step + child % step
+            real = (i < len(xm)) & (j < len(ym))
+            i, j, seen, count = i[real], j[real], seen[real], count[real]
+        shared = xm[i] & ym[j]
+        count = count + np.bitwise_count((xp[i] ^ yp[j]) & shared & ~seen)
+        near = count <= distance
+        pruned += len(near) - int(near.sum())
+        i, j, seen, count, above = i[near], j[near], shared[near], count[near], size
+    return i, j, seen, count, pruned
+
+
 def forest(a: np.ndarray, b: np.ndarray | None, distance: int) -> list[tuple[int, int]]:
     """Edges that join what links inside a (b is None), or between a and b.
 
     a and b: a row for each member, its words (distances add up) and its id; a single column is both.
     """
-    left, right = _leaves(a), _leaves(a if b is None else b)
-    near = np.zeros((len(a), len(right) and sum(len(x) for x, _, _ in right)), bool)
-    for i, (x, xm, xp) in enumerate(left):
-        for j, (y, ym, yp) in enumerate(right):
-            if np.bitwise_count((xp ^ yp) & xm & ym) <= distance:
-                near[i * LEAF : i * LEAF + len(x), j * LEAF : j * LEAF + len(y)] = (
-                    sum(np.bitwise_count(x[:, None, w] ^ y[None, :, w]) for w in range(x.shape[1])) <= distance
-                )
+    x = a[:, : max(1, a.shape[1] - 1)]
+    y = x if b is None else b[:, : x.shape[1]]
+    leaf, near = LEVELS[-1], np.zeros((len(x), len(y)), bool)
+    i, j, seen, count, _ = leaf_pairs(x[:, 0], y[:, 0], distance)
+    member = np.arange(leaf)
+    for k in range(0, len(i), PAIRS):
+        # rows beyond the end stand for the last one
+        r = np.minimum(i[k : k + PAIRS, None] * leaf + member, len(x) - 1)
+        c = np.minimum(j[k : k + PAIRS, None] * leaf + member, len(y) - 1)
+        rest = (x[r, 0][:, :, None] ^ y[c, 0][:, None, :]) & ~seen[k : k + PAIRS, None, None]
+        apart = count[k : k + PAIRS, None, None] + np.bitwise_count(rest)
+        for w in range(1, x.shape[1]):
+            apart = apart + np.bitwise_count(x[r, w][:, :, None] ^ y[c, w][:, None, :])
+        near[r[:, :, None], c[:, None, :]] = apart <= distance
     edges, free = [], np.ones(near.shape[1], bool)
     a, b = a[:, -1], None if b is None else b[:, -1]
     if b is None:
@@ -315,13 +350,18 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, shingle: int = SH
 def one_of_each(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE) -> DataFrame:
     """The rows of docs, all columns, with one document of each group: the one with the least id.
 
-    Of rows that share id and text one stays; rows without an id stay only in a group of
-    such rows, once for each text.
+    Of rows that share id and text one stays, of rows that share an id but not the group one for each group; rows
+    without an id stay only in a group of such rows, once for each text.
     """
     groups = near_duplicates(docs.select("doc_id", "text"), distance, shingle)
-    name = fresh("kept", docs.columns)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col(name)), "left_semi").dropDuplicates(["doc_id", "text"])
+    name, th, fp = fresh("kept", docs.columns), fresh("th", docs.columns), fresh("fp", docs.columns)
+    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(name), F.col("fingerprint").alias(fp))
+    # the same text has the same fingerprint, so a hash of the text leads from one to the other
+    texts = fingerprints(docs.select(F.xxhash64("text").alias("doc_id"), "text").dropDuplicates(["doc_id"]), shingle)
+    texts = texts.select(F.col("doc_id").alias(th), F.lpad(F.lower(F.hex("fp")), 16, "0").alias(fp))
+    kept = kept.distinct().join(texts, fp).select(name, th)
+    own = F.col("doc_id").eqNullSafe(F.col(name)) & (F.xxhash64("text") == F.col(th))
+    return docs.join(kept, own, "left_semi").dropDuplicates(["doc_id", "text"])
 
 
 # --- one of each by Jaccard similarity ---------------------------------------------------------

@@ -10,12 +10,13 @@ function that is fitted on labelled documents.
 
 The lexicon is mined from a sample of fixed size, at most ``SAMPLE`` labelled documents of
 each class: a term's weight is its smoothed log odds between toxic and other documents;
-terms that a shorter one covers are left out; at most ``LEXICON`` stay. Exception phrases
+terms that a shorter one covers are left out. A term needs ``SUPPORT`` documents of the sample, so its size bounds
+the lexicon too. Exception phrases
 are mined from the same sample (pairs of words around a term that occur in other
 documents only) and added to those given. Scoring reads whole texts.
 
-Edge cases: null and empty texts have no match and get the score of such a text; null or
-unknown labels aren't trained on; without labels of both classes every score is 0.5;
+Edge cases: null and empty texts have no match and get the score of such a text; held_out is null for a null doc_id; where rows of one
+doc_id differ, the least text is trained on; null or unknown labels aren't trained on; without labels of both classes every score is 0.5;
 equal rows get equal scores; other columns are not read; an empty table gives an empty
 result.
 """
@@ -32,14 +33,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, fold_of, labelled
+from .common import Scratch, bounded_sample, fold_of, labelled
 from .numeric import fit_logistic, sigmoid
 
 #: Bounds of the sample that lexicon and scale are learned on.
 SAMPLE = {0: 3000, 1: 1500}
-LEXICON = 2000
-#: Longest text that is sampled for training, in characters.
-TRAIN_CHARS = 200_000
 THRESHOLD = 0.7
 #: A term needs this many toxic documents and this log odds.
 SUPPORT, LOG_ODDS = 3, 3.5
@@ -102,7 +100,18 @@ def mine(toxic: Counter, other: Counter, n_toxic: int, n_other: int) -> dict[str
         # a beginning that also is rare elsewhere stands for the longer terms it covers
         if not any(t.startswith(t[: n + 1]) and t[: n + 1] in out for n in PREFIXES if len(t) > n + 1):
             out[t] = found[t]
-    return dict(sorted(out.items(), key=lambda x: (-x[1], x[0]))[:LEXICON])
+    return out
+
+
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The union of half-open spans, in order."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], max(b, out[-1][1])
+        else:
+            out.append((a, b))
+    return out
 
 
 class Matcher:
@@ -133,8 +142,13 @@ class Matcher:
                     hits.append((end - n + 1, w))
             # a word counts once, by its heaviest term
             best: dict[int, float] = {}
-            for at, w in hits:
-                if not any(a <= at < b for a, b in spans):
+            # both come by their ends: a phrase that covers a hit's start ends after it, so one pass over merged phrases does
+            covered = _merged(spans)
+            k = 0
+            for at, w in sorted(hits):
+                while k < len(covered) and covered[k][1] <= at:
+                    k += 1
+                if k == len(covered) or at < covered[k][0]:
                     best[at] = max(w, best.get(at, 0.0))
             total = sum(best.values())
         return float(np.log1p(total)), float(np.log1p(100 * total / max(n_words, 1)))
@@ -142,9 +156,9 @@ class Matcher:
 
 def _sample(docs: DataFrame, labels: DataFrame, target: str) -> DataFrame:
     chosen = bounded_sample(labelled(labels, target), SAMPLE)
-    texts = docs.select("doc_id", "text").where(F.length("text") <= TRAIN_CHARS)
+    texts = docs.select("doc_id", "text").where("text is not null")
     # the sample's rows are at most sum(SAMPLE), so the broadcast has a bound
-    return texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("text", "label")
+    return texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label")).select("text", "label")
 
 
 def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,16 +202,16 @@ def _mined_exceptions(sample: DataFrame, lexicon: dict[str, float]) -> tuple[str
         .groupBy("pair")
         .agg(F.sum(F.col("n") * F.col("label")).alias("toxic"), F.sum(F.col("n") * (1 - F.col("label"))).alias("other"))
         .where((F.col("toxic") == 0) & (F.col("other") >= SUPPORT))
-        .orderBy(F.desc("other"), "pair")
-        .limit(LEXICON)
         .collect()
     )
-    return tuple(r.pair for r in rows)
+    return tuple(sorted(r.pair for r in rows))
 
 
 def train(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = EXCEPTIONS, target: str = "toxic"):
     """(lexicon, exceptions, logistic weights), or None without labels of both classes."""
-    sample = _sample(docs, labels, target)
+    # read three times: a table of its own, of a size that the sample bounds
+    scratch = Scratch(docs.sparkSession, "toxic")
+    sample = scratch.keep(_sample(docs, labels, target))
     counted = (
         sample.mapInArrow(_count_terms, "term string, n_other bigint, n_toxic bigint")
         .groupBy("term")
@@ -223,6 +237,7 @@ def train(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = EXCE
             )
 
     rows = sorted(tuple(r) for r in sample.mapInArrow(run, "a double, b double, label int").collect())
+    scratch.drop_all_but()
     data = np.array(rows)
     weights = fit_logistic(data[:, :2], data[:, 2], l2=0.1)
     return lexicon, exceptions, weights

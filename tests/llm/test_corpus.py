@@ -167,7 +167,7 @@ def test_simhash_brute_force(spark):
 def test_simhash_nodes_of_one_group(spark, monkeypatch):
     """A large group is cut into nodes that meet; chains across nodes and partitions hold."""
     monkeypatch.setattr(simhash_gray, "NODE", 16)
-    monkeypatch.setattr(simhash_gray, "LEAF", 4)
+    monkeypatch.setattr(simhash_gray, "LEVELS", (8, 4))
     rng = random.Random(3)
     fps, x = set(), rng.getrandbits(64)
     while len(fps) < 150:
@@ -189,6 +189,46 @@ def test_simhash_nodes_of_one_group(spark, monkeypatch):
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
 
 
+def test_tree_prunes_and_loses_nothing():
+    rng = np.random.default_rng(23)
+    base = (rng.integers(0, 1 << 63, (50, 1), dtype=np.uint64) & ~np.uint64(0x3FF) ^ rng.integers(0, 1 << 10, (50, 40), dtype=np.uint64)).ravel()
+    flips = lambda n: np.bitwise_xor.reduce(np.uint64(1) << rng.integers(0, 60, (n, rng.integers(1, 4))).astype(np.uint64), axis=1)
+    x = np.unique(np.concatenate([base, base[:300] ^ flips(300)]))
+    rank = x.copy()
+    for s in (1, 2, 4, 8, 16, 32):
+        rank ^= rank >> np.uint64(s)
+    x = x[np.argsort(rank, kind="stable")]
+    near = np.bitwise_count(x[:, None] ^ x[None, :]) <= 3
+    i, j, _, _, pruned = simhash_gray.leaf_pairs(x, x, 3)
+    leaf, n = simhash_gray.LEVELS[-1], -(-len(x) // simhash_gray.LEVELS[-1])
+    assert pruned > 0 and len(i) < 0.7 * n * n
+    kept = set(zip(i.tolist(), j.tolist()))
+    assert all((a // leaf, b // leaf) in kept for a, b in zip(*np.nonzero(near)))
+    # the forest joins what the links join
+    for a, b in ((x, None), (x[:700], x[700:])):
+        edges = simhash_gray.forest(a[:, None], None if b is None else b[:, None], 3)
+        y = x if b is None else b
+        want = {(int(p), int(q)) for p, q in zip(a[np.nonzero(np.bitwise_count(a[:, None] ^ y[None, :]) <= 3)[0]], y[np.nonzero(np.bitwise_count(a[:, None] ^ y[None, :]) <= 3)[1]])}
+
+        def find(root, k):
+            while root.setdefault(k, k) != k:
+                k = root[k]
+            return k
+
+        for these, those in ((edges, want), (want, edges)):
+            root = {}
+            for u, v in these:
+                root[find(root, u)] = find(root, v)
+            assert all(find(root, u) == find(root, v) for u, v in those)
+
+
+def test_one_of_each_of_rows_that_share_an_id(spark):
+    a, b = "some words that make one text of their own", "and quite another text with other words in it entirely"
+    rows = [(0, a), (1, a), (1, b), (1, b), (None, a)]
+    for f in (simhash_gray.one_of_each, simhash_gray.one_alike):
+        assert sorted((r.doc_id, r.text) for r in f(docs_of(spark, rows)).collect()) == [(0, a), (1, b)]
+
+
 def test_gray_rank(spark):
     codes = [n ^ n >> 1 for n in (0, 1, 2, 3, 77, 1 << 63, (1 << 64) - 1)]
     df = spark.createDataFrame([(simhash_gray._signed(c),) for c in codes], "fp bigint")
@@ -524,21 +564,22 @@ def test_crf_against_enumeration():
     counts = np.array([1, 4, 2])
     emission = rng.normal(size=7)
     log_z, good, pair = crf_quality.forward_backward(emission, counts, pairs)
-    at, total_pair = 0, np.zeros((2, 2))
+    at, want_pair = 0, np.zeros((2, 2))
     for d, n in enumerate(counts):
         e = emission[at : at + n]
-        weights, marg = [], np.zeros(n)
+        weights, marg, total_pair = [], np.zeros(n), np.zeros((2, 2))
         for y in np.ndindex(*[2] * n):
             s = math.exp(sum(e[i] for i in range(n) if y[i]) + sum(pairs[y[i - 1], y[i]] for i in range(1, n)))
             weights.append(s)
             marg += s * np.array(y)
             for i in range(1, n):
-                total_pair[y[i - 1], y[i]] += s / 1.0 * 0
+                total_pair[y[i - 1], y[i]] += s
         z = sum(weights)
         assert log_z[d] == pytest.approx(math.log(z))
         assert good[at : at + n] == pytest.approx(marg / z)
+        want_pair += total_pair / z
         at += n
-    assert pair.sum() == pytest.approx((counts - 1).sum())
+    assert pair == pytest.approx(want_pair)
 
 
 def test_crf_gradient():
@@ -551,6 +592,37 @@ def test_crf_gradient():
     assert s[:12].min() > 0.7 and s[12:].max() < 0.3
 
 
+def test_lines_of_mixed_documents(spark):
+    rng = random.Random(21)
+    good = lambda: prose(rng, 12).capitalize() + "."
+    bad = lambda: rng.choice(["$ | # " * 9, "BUY!! " * 8])
+    rows, labels, truth = [], [], {}
+    for i in range(240):
+        n_bad = 0 if i % 3 else 8
+        lines = [good() for _ in range(10 - n_bad if i % 3 else 3)] + [bad() for _ in range(n_bad)]
+        if i % 3 == 1:
+            lines[4:4] = [bad(), bad()]
+        rows.append((i, "\n".join(lines)))
+        labels.append((i, int(i % 3 > 0), 0))
+        truth |= {(i, k): x[0] == "W" for k, x in enumerate(lines)}
+    docs = docs_of(spark, rows)
+    weights = crf_quality.train(docs, labels_of(spark, labels))
+    got = {(r.doc_id, r.line): r.good for r in crf_quality.label_lines(docs, weights).collect()}
+    assert set(got) == set(truth)
+    assert np.mean([got[k] == truth[k] for k in truth]) > 0.9
+    # good lines of bad documents, whose label they don't share
+    assert np.mean([got[i, k] for i, k in truth if i % 3 == 0 and k < 3]) > 0.9
+    scores = {r.doc_id: r.score for r in crf_quality.score(docs, weights).collect()}
+    assert np.mean([(scores[i] >= 0.3) == bool(q) for i, q, _ in labels]) > 0.95
+
+
+def test_a_run_of_a_long_document_trains(spark, monkeypatch):
+    monkeypatch.setattr(crf_quality, "TRAIN_LINES", 3)
+    docs, labels, truth = corpus(spark, 120)
+    got = {r.doc_id: r.predicted for r in crf_quality.classify(docs, labels).collect()}
+    assert np.mean([got[i] == q for i, q, _ in truth]) > 0.9
+
+
 def test_minimize():
     x = numeric.minimize(lambda x: (((x - 3) ** 2).sum() + (x[0] * x[1]) ** 2, 2 * (x - 3) + 2 * x[0] * x[1] * x[::-1]), np.zeros(2))
     assert np.abs(2 * (x - 3) + 2 * x[0] * x[1] * x[::-1]).max() < 1e-3
@@ -611,6 +683,22 @@ def test_folding_and_exceptions():
     assert m.measures("video")[0] == 0.0 and m.measures(None) == (0.0, 0.0)
 
 
+def test_matcher_against_brute_force():
+    rng = random.Random(22)
+    words = ["trash", "can", "bin", "idiot", "idiots", "idiotic", "fool", "the", "foo"]
+    lexicon = {" trash ": 2.0, " idio": 3.0, " fool ": 1.5, " idiot ": 4.0, " foo": 0.5}
+    phrases = ("trash can", "can fool the", "the idiot", "fool fool")
+    m = toxicity.Matcher(lexicon, phrases)
+    for _ in range(400):
+        text = prose(rng, rng.randrange(1, 25), words)
+        folded, total = toxicity.fold(text), 0.0
+        covered = [(k, k + len(p) + 1) for p in phrases for k in range(len(folded)) if folded.startswith(f" {p} ", k)]
+        for k in range(len(folded)):
+            if folded[k] == " " and not any(a <= k < b for a, b in covered):
+                total += max((w for t, w in lexicon.items() if folded.startswith(t, k)), default=0.0)
+        assert m.measures(text)[0] == pytest.approx(math.log1p(total)), text
+
+
 @pytest.mark.parametrize("module", [crf_quality, toxicity])
 def test_classifier_edges(spark, edge, no_docs, no_labels, module):
     out = module.classify(edge, no_labels).collect()
@@ -663,6 +751,26 @@ def test_false_rejections_stay_bounded():
     assert bad <= 20
 
 
+def test_cutoffs_hold_and_are_reported(spark):
+    rng = random.Random(24)
+    rows = [(i, prose(rng, 80) if i % 4 else " ".join(f"x{j}|#" for j in range(80))) for i in range(400)]
+    rows += [(1000 + i, prose(rng, 300)) for i in range(20)]
+    docs, labels = docs_of(spark, rows), labels_of(spark, [(i, int(i >= 1000 or i % 4 > 0), 0) for i, _ in rows])
+    got = {r.doc_id: r for r in risk_rules.apply_rules(docs, labels).collect()}
+    # 150 good documents in the holdout's stratum are enough; 20 labels of the longer ones aren't
+    assert all(got[i].level is not None for i in range(400)) and all(got[1000 + i].level is None for i in range(20))
+    assert not any(got[i].kept for i in range(0, 400, 4)) and all(got[1000 + i].kept for i in range(20))
+    assert sum(not got[i].kept for i in range(400) if i % 4) <= 0.05 * 300
+    # the verdicts are what the cutoffs say
+    counts = risk_rules.measures(docs)
+    (level, cuts), = risk_rules.cutoffs(counts, labels).values()
+    for r in counts.collect():
+        value = {"symbols_over": r.n_symbols / max(1, r.word_chars), "dup_lines_over": r.n_dup_lines / max(1, r.n_lines), "repeats_over": r.n_repeat_words / max(1, r.n_words),
+                 "upper_over": r.n_upper / max(1, r.word_chars), "distinct_under": r.n_distinct / max(1, r.n_words), "word_length_over": r.word_chars / max(1, r.n_words)}
+        beyond = any(value[m] > c if m.endswith("over") else value[m] < c for m, c in cuts.items())
+        assert got[r.doc_id].kept == (r.doc_id >= 1000 or not beyond)
+
+
 def test_rules(spark, edge, no_docs, no_labels):
     out = {r.doc_id: r for r in risk_rules.apply_rules(edge, no_labels).collect()}
     assert len(out) == len({i for i, _ in EDGE}) and out[6].base_failed and not out[6].kept
@@ -762,6 +870,7 @@ def test_urls(spark):
     assert [got[i].verdict for i in (2, 3, 4)] == ["allow", "block", "allow"] and got[0].host == ""
     assert url_filter.judge(pages.limit(0)).count() == 0
     assert {r.verdict for r in url_filter.judge(pages, rows=[]).where("rule is null").collect()} == {"allow"}
+    assert {r.page_id: r.verdict for r in url_filter.judge(pages.unionAll(pages)).collect()} == {i: r.verdict for i, r in got.items()}
     table = url_filter.training_table()
     fold = [zlib.crc32(u.encode()) % 4 for u, _ in table]
     w = url_filter.train([x for x, f in zip(table, fold) if f])
@@ -769,6 +878,39 @@ def test_urls(spark):
     assert np.mean(hit) > 0.9
 
 
+def test_places_and_rules_against_brute_force():
+    rng = random.Random(25)
+    for _ in range(200):
+        host, path = "".join(rng.choice("ab.") for _ in range(rng.randrange(9))), "/" + "".join(rng.choice("xy/") for _ in range(rng.randrange(9)))
+        grams = set()
+        for kind, s in (("h", f"^{host}$"), ("p", f"{path}$")):
+            grams |= {zlib.crc32((kind + s[i:k]).encode()) % url_filter.WIDTH for i in range(len(s)) for k in range(i + 3, min(i + 5, len(s)) + 1)}
+        assert url_filter.places(host, path) == grams
+        rules = [(rng.choice(["allow", "block"]), "".join(rng.choice("ab.") for _ in range(rng.randrange(1, 3))) + "/" + rng.choice(["", "x", "x/y"])) for _ in range(4)]
+        best = None
+        for verdict, rule in rules:
+            h, _, rest = rule.partition("/")
+            fits = (host == h or host[-len(h) - 1 :] == f".{h}") and path[: len(rest) + 1] == f"/{rest}"
+            if fits and (best is None or (len(rule), verdict == "block", rule) > (len(best[1]), best[0] == "block", best[1])):
+                best = verdict, rule
+        assert url_filter.rule_for(host, path, rules) == best
+
+
+def test_forest_sql_against_its_trees(spark):
+    rng = np.random.default_rng(26)
+    x = rng.random((400, 3))
+    forest = secret_forest.fit_forest(x, ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.3)).astype(int), 7, 4)
+
+    def tree(t, v):
+        while isinstance(t, tuple):
+            t = t[2] if v[t[0]] <= t[1] else t[3]
+        return t
+
+    df = spark.createDataFrame(x.tolist(), "a double, b double, c double")
+    for r in df.select("*", F.expr(secret_forest.forest_sql(forest, ("a", "b", "c"))).alias("p")).collect():
+        assert r.p == pytest.approx(np.mean([tree(t, (r.a, r.b, r.c)) for t in forest]))
+
+
 # --- 9: chat ---------------------------------------------------------------------------------------
 
 
