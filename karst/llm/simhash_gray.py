@@ -39,6 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, fresh
+from .line_dedup import _one_array
 
 SHINGLE = 3
 SEED = 42
@@ -49,8 +50,11 @@ NODE, LEVELS, PAIRS = 2048, (512, 128, 32), 1024
 ALIKE, WORDS = 0.8, 5
 #: Its index: differing bits of 128, tables, and bits of a table's key.
 WIDE, TABLES, KEY_BITS = 28, 32, 12
-#: Texts that one_alike holds against each other in one piece.
-CHUNK = 256
+#: Texts that one_alike holds against each other in one piece; the share of a large component that a further
+#: round of such pieces must settle for one more to follow.
+CHUNK, SETTLED = 256, 0.1
+#: Buckets of the table of how common a shingle is within its component; a power of two.
+BUCKETS = 1 << 20
 _FLIP = np.uint64(1 << 63)
 
 
@@ -436,15 +440,65 @@ def _alike(table: pa.Table) -> pa.Table:
     return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
 
+def _pieces(member: DataFrame, salt: int) -> DataFrame:
+    """Edges (u, v) of the rows of each piece of CHUNK rows or so of a component; count is the component's size."""
+    i = F.pmod(F.xxhash64("sid", F.lit(salt)), F.ceil(F.col("count") / CHUNK))
+    return member.withColumn("i", i).groupBy("root", "i").applyInArrow(_alike, "u bigint, v bigint")
+
+
+def _hashed_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(root, sid, place, text) with the text's shingles as 64-bit hashes instead of it."""
+    for b in batches:
+        sets = [np.frombuffer(b"".join(shingles(t.as_py())), np.int64)[::2] for t in b.column(3)]
+        ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+        hs = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *sets])))
+        yield pa.RecordBatch.from_arrays([*b.columns[:3], hs], ["root", "sid", "place", "hs"])
+
+
+def _earlier_alike(member: DataFrame, scratch: Scratch) -> DataFrame:
+    """(u, v): each row of member (root, sid, place, text) with each earlier one of its root that it is alike to.
+
+    A set-similarity join by prefix, length and positional filters; how common a shingle is in its root comes from a table of
+    fixed size, and any order gives the same links. Sets are compared by the 64-bit hashes of their shingles.
+    """
+    kind = member.schema["place"].dataType.simpleString()
+    rows = member.select("root", "sid", "place", "text")
+    rows = scratch.keep(rows.mapInArrow(_hashed_sets, f"root bigint, sid bigint, place {kind}, hs array<bigint>"))
+    bucket = lambda h: F.xxhash64("root", h).bitwiseAND(F.lit(BUCKETS - 1))
+    counts = rows.select("root", F.explode("hs").alias("h")).groupBy(bucket(F.col("h")).alias("id")).agg(F.count("*").alias("n"))
+    common = scratch.keep(_one_array(counts.select("id", F.least(F.lit(127), F.floor(F.log2("n") * 4)).alias("c")), BUCKETS, "tinyint"))
+    ranked = F.transform("hs", lambda h: F.struct(F.get("common", bucket(h).cast("int")).alias("c"), h.alias("h")))
+    n = F.size("hs")
+    prefix = F.slice(F.sort_array(ranked), F.lit(1), (n - F.ceil(n * ALIKE - 1e-9) + 1).cast("int"))
+    # a projection of its own, into which Catalyst puts the one use of the table
+    ranked = rows.withColumn("common", common.scalar()).select("root", "sid", "place", n.alias("n"), prefix.alias("p"))
+    postings = ranked.select("root", "sid", "place", "n", F.posexplode("p").alias("i", "r"))
+    postings = postings.select("root", F.col("r.h").alias("h"), "sid", "place", "n", "i")
+    x, y = postings.alias("x"), postings.alias("y")
+    near = F.expr(
+        "x.root = y.root and x.h = y.h and y.place < x.place"
+        f" and x.n >= {ALIKE - 1e-9} * y.n and y.n >= {ALIKE - 1e-9} * x.n"
+        f" and least(x.n - x.i, y.n - y.i) >= {ALIKE / (1 + ALIKE) - 1e-9} * (x.n + y.n)"
+    )
+    pairs = scratch.keep(x.join(y, near).select(F.col("y.sid").alias("u"), F.col("x.sid").alias("v")).distinct())
+    one = rows.select(F.col("sid").alias("v"), F.col("hs").alias("a"))
+    two = rows.select(F.col("sid").alias("u"), F.col("hs").alias("b"))
+    both = F.size(F.array_intersect("a", "b"))
+    alike = both >= ALIKE * (F.size("a") + F.size("b") - both)
+    return pairs.join(one, "v").join(two, "u").where(alike).select("u", "v")
+
+
 def one_alike(docs: DataFrame) -> DataFrame:
     """The rows of docs, all columns, with one document of each group of texts whose sets of WORDS-word shingles have
     a Jaccard similarity of ALIKE or more: the one with the least id.
 
     Candidates are components of 128-bit fingerprints in the Gray-order index. In a component texts are held, in the
-    order of their ids, against those that stay so far, by their exact sets: chunks of a bounded size first, then what
-    stays of all chunks, each pair of chunks. So two candidates that are alike never both stay, and a document goes
-    only if verified links join it to one that stays. Null, empty and wordless texts are alike. Of rows that share id
-    and text one stays.
+    order of their ids, against those that stay so far, by their exact sets: in pieces of a bounded size, whose
+    survivors are dealt to new pieces as long as that settles a fair share of them. Survivors of large components,
+    mostly texts that chains of candidates joined and that aren't alike, then meet by a prefix filter over their rarest
+    shingles, so no component is compared pair by pair. So two candidates that are alike never both stay, and a
+    document goes only if verified links join it to one that stays. Null, empty and wordless texts are alike. Of rows
+    that share id and text one stays.
     """
     scratch = Scratch(docs.sparkSession, "alike")
     marks = scratch.keep(_marks(docs, False))
@@ -457,14 +511,22 @@ def one_alike(docs: DataFrame) -> DataFrame:
     place = F.struct(F.col("first").isNull().alias("none"), "first", "sid")
     member = scratch.keep(member.join(texts, F.col("sid") == F.col("s_")).select("sid", "text", place.alias("place"), "root", "count"))
 
-    part = lambda n: F.pmod(F.xxhash64("sid"), F.ceil(n / CHUNK))
-    edges = scratch.keep(member.withColumn("i", part(F.col("count"))).groupBy("root", "i").applyInArrow(_alike, "u bigint, v bigint"))
-    left = member.where(F.col("count") > CHUNK).drop("count").join(edges.select(F.col("v").alias("sid")), "sid", "left_anti")
-    left = left.join(left.groupBy("root").count(), "root").withColumns({"n": F.ceil(F.col("count") / CHUNK), "i": part(F.col("count"))})
-    other = F.explode(F.sequence(F.lit(0), F.greatest(F.col("n") - 1, F.lit(0))))
-    left = left.withColumn("j", other).where("i <> j or n = 1").withColumns({"i": F.least("i", "j"), "j": F.greatest("i", "j")})
-    edges = scratch.keep(edges.unionAll(left.groupBy("root", "i", "j").applyInArrow(_alike, "u bigint, v bigint")))
-
+    edges, left, salt = scratch.keep(_pieces(member, 0)), member, 0
+    new, settled = edges, 1.0
+    while True:
+        # survivors of the components that more than one piece held
+        left = left.where(F.col("count") > CHUNK).drop("count").join(new.select(F.col("v").alias("sid")), "sid", "left_anti")
+        left = scratch.keep(left.join(left.groupBy("root").count(), "root").select(*member.columns))
+        n = left.count()
+        if not n or settled < SETTLED:
+            break
+        salt += 1
+        new = scratch.keep(_pieces(left, salt))
+        settled = new.count() / n
+        edges = edges.unionAll(new)
+    if n:
+        edges = edges.unionAll(_earlier_alike(left, scratch))
+    edges = scratch.keep(edges)
     group = connected(edges, scratch)
     member = nodes.join(group, F.col("sid") == F.col("node")).select("sid", "root", "first")
     least = member.groupBy("root").agg(F.min("first").alias("least"))

@@ -291,6 +291,19 @@ def test_pipeline_near_dedup_against_brute_jaccard(spark, monkeypatch, chunk):
         assert seen & kept
 
 
+def test_earlier_alike_against_brute_jaccard(spark):
+    rng = random.Random(12)
+    rows, base = [], prose(rng, 100, [f"w{i}" for i in range(3000)])
+    for i in range(120):
+        # one component of texts of which few are alike, another of the same texts
+        rows.append((i, edited(rng, base, rng.randrange(12)) if i else ""))
+        rows.append((1000 + i, rows[-1][1]))
+    df = spark.createDataFrame([(i // 1000, i, (False, i % 1000, i), t) for i, t in rows], "root bigint, sid bigint, place struct<none boolean, first bigint, sid bigint>, text string")
+    got = [(r.u, r.v) for r in simhash_gray._earlier_alike(df, Scratch(spark, "test")).collect()]
+    pairs = [(j, i) for j, s in rows for i, t in rows if j < i and j // 1000 == i // 1000 and s and t and brute_jaccard(s, t) >= 0.8]
+    assert 100 < len(pairs) < 10_000 and sorted(got) == sorted(pairs)
+
+
 def test_one_alike_edges(spark, edge, no_docs):
     kept = simhash_gray.one_alike(edge)
     assert kept.columns == edge.columns
