@@ -119,6 +119,14 @@ def test_line_dedup_edges(spark, edge, no_docs):
     assert line_dedup.dedup_lines(no_docs).count() == 0
 
 
+def test_line_dedup_rarity_from_a_sample(spark):
+    rows = [(i, f"common word{i}") for i in range(2048)]
+    classes = line_dedup.rarity_table(docs_of(spark, rows)).first()["all"]
+    share = sum(c > 0 for c in classes) / len(rows)
+    assert 0.5 / line_dedup.RARITY_SHARE < share < 2 / line_dedup.RARITY_SHARE
+    assert max(classes) > 4 * min(c for c in classes if c > 0)
+
+
 # --- 8: SimHash --------------------------------------------------------------------------
 
 
