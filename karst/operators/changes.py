@@ -44,15 +44,21 @@ def version_counts(versions: DataFrame, key: str = "key") -> DataFrame:
 
 
 def diff(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
-    """(key, event_type, previous_value, new_value): the changes between two states, values as JSON."""
-    pack = lambda df, n: df.select(F.col(key).alias(f"k{n}"), F.struct(*sorted(df.columns)).alias(f"v{n}"))
-    a, b = pack(before, 0), pack(after, 1)
+    """(key, event_type, previous_value, new_value): the changes between two states, values as JSON.
+
+    A state may hold a key more than once: equal rows of the two states cancel one for one,
+    and what is left of a key is paired in the order of its values.
+    """
+    rows = before.withColumn("n_", F.lit(-1)).unionByName(after.withColumn("n_", F.lit(1)))
+    # dealt by key once; all that follows stays within the partitions
+    rows = rows.select(key, F.struct(*sorted(before.columns)).alias("value_"), "n_").repartition(key)
+    net = rows.groupBy(key, "value_").agg(F.sum("n_").alias("n_")).where("n_ <> 0")
     # values are compared as they are; only those that changed become JSON
-    out = a.join(b, F.col("k0") == F.col("k1"), "full").where(~F.col("v0").eqNullSafe(F.col("v1")))
+    left = net.select(key, "value_", (F.col("n_") < 0).alias("gone_"), F.explode(F.sequence(F.lit(1).cast("bigint"), F.abs("n_"))))
+    left = left.withColumn("pair_", F.row_number().over(Window.partitionBy(key, "gone_").orderBy("value_")))
+    pairs = left.groupBy(key, "pair_").agg(F.max(F.when(F.col("gone_"), F.col("value_"))).alias("v0"), F.max(F.when(~F.col("gone_"), F.col("value_"))).alias("v1"))
     kind = F.when(F.col("v0").isNull(), INSERT).when(F.col("v1").isNull(), DELETE).otherwise(UPDATE)
-    return out.select(
-        F.coalesce("k0", "k1").alias(key), kind.alias("event_type"), F.to_json("v0").alias("previous_value"), F.to_json("v1").alias("new_value")
-    )
+    return pairs.select(key, kind.alias("event_type"), F.to_json("v0").alias("previous_value"), F.to_json("v1").alias("new_value"))
 
 
 def since(events: DataFrame, ts, column: str = "timestamp") -> DataFrame:

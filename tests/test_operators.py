@@ -251,6 +251,16 @@ def test_changes(spark):
     assert {r.id: r.event_type for r in C.diff(a, b, "id").collect()} == {2: "UPDATE", 3: "INSERT"}
 
 
+def test_diff_of_states_that_repeat_a_key(spark):
+    a = spark.createDataFrame([(1, "x"), (2, "y"), (3, "p"), (3, "p"), (4, "m"), (4, "n"), (None, "e")], "id int, v string")
+    b = spark.createDataFrame([(1, "x"), (1, "w"), (2, "y"), (2, "y"), (3, "p"), (4, "q"), (4, "r"), (4, "s"), (None, "e")], "id int, v string")
+    got = sorted((r.id, r.event_type, r.previous_value, r.new_value) for r in C.diff(a, b, "id").collect() if r.event_type != "UPDATE")
+    row = lambda i, v: f'{{"id":{i},"v":"{v}"}}'
+    assert got == [(1, "INSERT", None, row(1, "w")), (2, "INSERT", None, row(2, "y")), (3, "DELETE", row(3, "p"), None), (4, "INSERT", None, row(4, "s"))]
+    updates = [(r.previous_value, r.new_value) for r in C.diff(a, b, "id").where("event_type = 'UPDATE'").collect()]
+    assert sorted(updates) == [(row(4, "m"), row(4, "q")), (row(4, "n"), row(4, "r"))]
+
+
 def test_schema(spark):
     df = spark.createDataFrame([("a", 1.0, "t"), (None, None, None)], "name string, price double, flag string")
     fields = {"name": SC.Field("string", True), "price": SC.Field("int"), "flag": SC.Field("boolean")}
