@@ -13,10 +13,22 @@ STOP_WORDS = (
 )
 
 
+def _runs(text: Column) -> Column:
+    return F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{Nd}]+")
+
+
+def _kept(runs: Column, stop_words: tuple[str, ...], shortest: int) -> Column:
+    return F.filter(runs, lambda t: (F.length(t) >= shortest) & ~t.isin(list(stop_words)))
+
+
 def tokens(text: Column, stop_words: tuple[str, ...] = STOP_WORDS, shortest: int = 2) -> Column:
     """Lower-case runs of letters and digits, without stop words and short ones; null text has none."""
-    parts = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{Nd}]+")
-    return F.filter(parts, lambda t: (F.length(t) >= shortest) & ~t.isin(list(stop_words)))
+    return _kept(_runs(text), stop_words, shortest)
+
+
+def token_set(text: Column, stop_words: tuple[str, ...] = STOP_WORDS, shortest: int = 2) -> Column:
+    """The different ones of tokens."""
+    return _kept(F.array_distinct(_runs(text)), stop_words, shortest)
 
 
 def _equal_to(term: str):

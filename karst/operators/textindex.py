@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 
+#: Hash values of ids. The list of those that several rows have is no longer than this, so it is broadcast by hand.
+BUCKETS = 1 << 16
+
 
 def scored(df: DataFrame, query: str, field: str = "text") -> DataFrame:
     """df with a score beside each row that has the field."""
@@ -34,8 +37,27 @@ def add(index: DataFrame, df: DataFrame, id_col: str, field: str) -> DataFrame:
 
 
 def remove(index: DataFrame, ids: DataFrame) -> DataFrame:
-    """The postings without those of the documents ids (id)."""
-    return index.join(ids.select("id").distinct(), "id", "left_anti").select("token", "id", "pos")
+    """The postings or entries without those of the documents ids (id)."""
+    return index.join(ids.select("id").distinct(), "id", "left_anti").select(*index.columns)
+
+
+def entries(df: DataFrame, id_col: str, field: str) -> DataFrame:
+    """(id, tokens, shared): the different tokens of each row, and whether other rows may have its id.
+
+    Where no other row has it, pairs of token and document need no comparison. ``shared`` errs
+    on the safe side: it holds for all ids that meet a repeated one in a bucket.
+    """
+    bucket = F.pmod(F.xxhash64("id"), F.lit(BUCKETS)).alias("bucket_")
+    repeated = df.select(F.col(id_col).alias("id")).groupBy("id").agg(F.count("*").alias("n")).where("n > 1")
+    repeated = repeated.select(bucket).distinct().withColumn("repeated_", F.lit(True))
+    rows = df.select(F.col(id_col).alias("id"), F.col(field).alias("text_")).select("id", "text_", bucket)
+    rows = rows.join(F.broadcast(repeated), "bucket_", "left")
+    return rows.select("id", X.token_set(F.col("text_")).alias("tokens"), F.col("repeated_").isNotNull().alias("shared"))
+
+
+def add_entries(rows: DataFrame, df: DataFrame, id_col: str, field: str) -> DataFrame:
+    """The entries with those of df's documents in place of earlier ones."""
+    return remove(rows, df.select(F.col(id_col).alias("id"))).unionByName(entries(df, id_col, field))
 
 
 def _known(index: DataFrame, words: Sequence[str]) -> DataFrame:
@@ -88,6 +110,14 @@ def vocabulary(index: DataFrame) -> DataFrame:
     return index.groupBy("token").agg(F.count_distinct("id").alias("documents"))
 
 
+def vocabulary_of(rows: DataFrame) -> DataFrame:
+    """vocabulary of entries: counts combine before the shuffle; only shared ids are compared."""
+    # outer, since explode makes the optimizer test for tokens beforehand and so compute them twice
+    at = rows.select("id", "shared", F.explode_outer("tokens").alias("token")).where(F.col("token").isNotNull())
+    at = at.select("token", F.when(~F.col("shared"), F.col("id")).alias("own"), F.when(F.col("shared"), F.col("id")).alias("common"))
+    return at.groupBy("token").agg((F.count("own") + F.count_distinct("common")).alias("documents"))
+
+
 def index_size(index: DataFrame) -> DataFrame:
     """One row: pairs of token and document."""
     return index.select("token", "id").distinct().agg(F.count("*").alias("size"))

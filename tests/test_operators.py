@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from karst import more_queries as _more  # noqa: F401  registers its queries with the others
 from karst.functions import formula as FX
 from karst.functions import lists as L
 from karst.functions import maps as M
@@ -24,6 +25,7 @@ from karst.operators.transactions import ConflictError, Transaction
 from karst.operators.vectors import VectorIndex, nearest
 from karst.plans import query as Q
 from karst.plans.query import Query
+from karst.queries import QUERIES
 from karst.sources import documents as D
 from karst.sources import logs as LG
 from karst.streaming import feed
@@ -283,6 +285,49 @@ def test_text(spark):
     assert one(spark, X.similarity(F.lit(""), F.lit(""))) == 1.0
 
 
+def test_entries_agree_with_postings(spark):
+    texts = [(1, "Red red fox and the fox"), (2, "red hen"), (2, "hen, Red owl"), (3, None), (4, "the a of"), (None, "red elk"), (None, "elk elk"), (5, "x fox")]
+    docs = spark.createDataFrame(texts, "id int, body string")
+    index, rows = TI.postings(docs, "id", "body"), TI.entries(docs, "id", "body")
+    shared = {(r.id, r.shared) for r in rows.collect()}
+    assert {(1, False), (2, True), (None, True), (5, False)} <= shared
+    counts = {"red": 2, "fox": 2, "hen": 1, "owl": 1, "elk": 0}
+    assert {r.token: r.documents for r in TI.vocabulary_of(rows).collect()} == counts
+    assert {r.token: r.documents for r in TI.vocabulary(index).collect()} == counts
+    new = spark.createDataFrame([(2, "gnu gnu"), (9, "gnu fox")], "id int, body string")
+    got = TI.vocabulary_of(TI.add_entries(rows, new, "id", "body")).collect()
+    want = TI.vocabulary(TI.add(index, new, "id", "body")).collect()
+    assert {tuple(r) for r in got} == {tuple(r) for r in want} == {("red", 1), ("fox", 3), ("elk", 0), ("gnu", 2)}
+
+
+def _rows_shuffled(df):
+    """Rows that the exchanges of df wrote."""
+    df.collect()
+    total, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "ShuffleExchangeExec":
+            total += node.metrics().get("shuffleRecordsWritten").get().value()
+        if kind == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            todo.append(node.plan())
+        else:
+            todo += [node.children().apply(i) for i in range(node.children().size())]
+    return total
+
+
+@pytest.mark.parametrize("name", ["text_vocabulary", "text_index_add"])
+def test_pairs_of_token_and_document_stay_where_they_are(spark, tmp_path, name):
+    words = [f"w{i}" for i in range(60)]
+    docs = [(i, " ".join(words[(i * j) % 60] for j in range(1, 50))) for i in range(1000)]
+    pairs = sum(len(set(text.split())) for _, text in docs)
+    spark.createDataFrame(docs, "doc_id long, text string").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    # ids once or twice, and each token once for a task and exchange
+    assert _rows_shuffled(QUERIES[name](spark, str(tmp_path))) < 4000 < pairs / 4
+
+
 def test_phrases(spark):
     df = spark.createDataFrame([(1, "The quick brown fox"), (2, "brown quick"), (3, "quick the brown"), (4, None)], "id int, t string")
     ids = lambda d: sorted(r.id for r in d.collect())
