@@ -121,3 +121,19 @@ def vocabulary_of(rows: DataFrame) -> DataFrame:
 def index_size(index: DataFrame) -> DataFrame:
     """One row: pairs of token and document."""
     return index.select("token", "id").distinct().agg(F.count("*").alias("size"))
+
+
+def index_size_of(rows: DataFrame, removed: DataFrame | None = None) -> DataFrame:
+    """index_size of entries, without those of the documents removed (id).
+
+    Tokens are counted before the join, so that it moves ids and counts; only shared ids keep theirs.
+    """
+    own = F.when(~F.col("shared"), F.size("tokens"))
+    rows = rows.select("id", own.alias("own"), F.when(F.col("shared"), F.col("tokens")).alias("common"))
+    if removed is not None:
+        # not an anti join: the optimizer moves that below the counting, and whole texts are shuffled
+        gone = removed.select("id").distinct().withColumn("gone_", F.lit(True))
+        rows = rows.join(gone, "id", "left").where(F.col("gone_").isNull())
+    at = rows.select("own", "id", F.explode_outer("common").alias("token"))
+    pair = F.when(F.col("token").isNotNull(), F.struct("token", "id"))
+    return at.agg((F.coalesce(F.sum("own"), F.lit(0)) + F.count_distinct(pair)).alias("size"))
