@@ -55,9 +55,13 @@ def entries(df: DataFrame, id_col: str, field: str) -> DataFrame:
     return rows.select("id", X.token_set(F.col("text_")).alias("tokens"), F.col("repeated_").isNotNull().alias("shared"))
 
 
-def add_entries(rows: DataFrame, df: DataFrame, id_col: str, field: str) -> DataFrame:
-    """The entries with those of df's documents in place of earlier ones."""
-    return remove(rows, df.select(F.col(id_col).alias("id"))).unionByName(entries(df, id_col, field))
+def add_entries(df: DataFrame, new: DataFrame, id_col: str, field: str) -> DataFrame:
+    """entries of df with new's documents in place of those with their ids.
+
+    Documents are replaced before they are split: texts take less room in a shuffle than tokens.
+    """
+    old = df.join(new.select(id_col).distinct(), id_col, "left_anti")
+    return entries(old, id_col, field).unionByName(entries(new, id_col, field))
 
 
 def _known(index: DataFrame, words: Sequence[str]) -> DataFrame:

@@ -299,7 +299,7 @@ def test_entries_agree_with_postings(spark):
     assert TI.index_size_of(rows, gone).first().size == TI.index_size(TI.remove(index, gone)).first().size == 6
     assert TI.index_size_of(rows.limit(0)).first().size == 0
     new = spark.createDataFrame([(2, "gnu gnu"), (9, "gnu fox")], "id int, body string")
-    got = TI.vocabulary_of(TI.add_entries(rows, new, "id", "body")).collect()
+    got = TI.vocabulary_of(TI.add_entries(docs, new, "id", "body")).collect()
     want = TI.vocabulary(TI.add(index, new, "id", "body")).collect()
     assert {tuple(r) for r in got} == {tuple(r) for r in want} == {("red", 1), ("fox", 3), ("elk", 0), ("gnu", 2)}
 
